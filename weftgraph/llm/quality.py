@@ -115,4 +115,7 @@ def keep_good(df: DataFrame, rules=DEFAULT_RULES, text: str = "text") -> DataFra
     """The rows of `df` that `quality_rules` keeps, with the columns of `df` and nothing else."""
     names = [f"_c{i}" for i in range(len(df.columns))]
     inner = df.toDF(*names).withColumn("_text", F.col(names[df.columns.index(text)]))
-    return quality_rules(inner, rules, "_text").where("kept").select(*names).toDF(*df.columns)
+    # Without the row number Catalyst would push the filter below the projections and write every
+    # array expression out in it again and again; a projection that isn't deterministic stops that.
+    judged = quality_rules(inner, rules, "_text").withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*names).toDF(*df.columns)
