@@ -51,7 +51,7 @@ def conjuncts(e: Any) -> list:
 
 class Compiler:
     def __init__(self, graph: Graph, params: dict[str, Any] | None = None):
-        self.graph, self.params, self.fresh = graph, params or {}, 0
+        self.graph, self.params, self.fresh, self.lambdas = graph, params or {}, 0, 0
         self.used: dict[str, set[str]] = {}
 
     # --- which properties are read ---------------------------------------------------------------
@@ -242,7 +242,7 @@ class Compiler:
         for t, x, y in ways:
             want = self._wanted(r, t.properties, e.props)
             df = t.df.where(F.col("src") != F.col("dst")) if direction == "both" and x == "dst" and t.src_label == t.dst_label else t.df
-            key = [F.struct(F.lit(t.rel_type).alias("t"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("src", "dst", *t.key)]).alias("k")).alias(f"__{r}__k")] if unique else []
+            key = [F.struct(F.lit(t.rel_type).alias("t"), F.concat_ws(":", F.lit(t.src_label), F.lit(t.dst_label), *[F.col(c).cast("string") for c in ("src", "dst", *t.key)]).alias("k")).alias(f"__{r}__k")] if unique else []
             parts.append(df.select(ident(x).alias("__near"), F.lit(label[x](t)).alias("__nearlab"), ident(y).alias("__far"), F.lit(label[y](t)).alias("__farlab"), F.lit(t.rel_type).alias(f"__{r}__type"), ident("src").alias(f"__{r}__src"), ident("dst").alias(f"__{r}__dst"), *key, *[F.col(c).alias(f"__{r}__p_{c}") for c in want]))
             props += [c for c in want if c not in props]
         edges = parts[0]
@@ -461,6 +461,7 @@ class Compiler:
     def aggregated(self, items: list, scope: Scope, c: S.Project) -> Scope:
         keys, aggs, after = [], [], []
         calls: dict[Any, str] = {}
+        ordered: dict[str, Column] = {}
 
         def lifted(e: Any) -> Any:
             if isinstance(e, S.Call) and e.name in S.AGGREGATES:
@@ -470,7 +471,11 @@ class Compiler:
                     calls[e] = f"agg{len(calls)}"
                     p = e.args[1].value if len(e.args) > 1 and isinstance(e.args[1], S.Lit) else None
                     arg = [] if e.star else [F.col(f"__{e.args[0].name}__id") if isinstance(e.args[0], S.Var) and e.args[0].name in scope.vars and scope.vars[e.args[0].name].kind == "node" and e.name == "count" else self.expr(e.args[0], scope)]
-                    aggs.append(scalar.aggregate(e.name, arg, e.distinct, p).alias(f"__{calls[e]}"))
+                    if e.name == "percentiledisc":  # only SQL has it, over a named column
+                        ordered[f"__in_{calls[e]}"] = arg[0]
+                        aggs.append(F.expr(f"percentile_disc({0.5 if p is None else p}) WITHIN GROUP (ORDER BY __in_{calls[e]})").alias(f"__{calls[e]}"))
+                    else:
+                        aggs.append(scalar.aggregate(e.name, arg, e.distinct, p).alias(f"__{calls[e]}"))
                 return S.Var(calls[e])
             if isinstance(e, S.Bin):
                 return S.Bin(e.op, lifted(e.left), lifted(e.right))
@@ -491,7 +496,7 @@ class Compiler:
         order = [(lifted(e), d) if S.has_aggregate(e) and not any(e == i.expr for i in items) else (e, d) for e, d in c.order]
         for i in items:
             after.append((i, lifted(i.expr) if S.has_aggregate(i.expr) else None))
-        grouped = scope.df.groupBy(*keys).agg(*aggs)
+        grouped = scope.df.withColumns(ordered).groupBy(*keys).agg(*aggs) if ordered else scope.df.groupBy(*keys).agg(*aggs)
         inside = {i.alias: self._bound(i, scope) for i, e in after if e is None} | {n: Bound("value") for n in calls.values()}
         mid = Scope(grouped, inside)
         cols: list[Column] = []
@@ -507,7 +512,9 @@ class Compiler:
     # --- expressions -----------------------------------------------------------------------------
 
     def kind(self, c: Column, scope: Scope) -> str:
-        return scope.df.select(c).schema[0].dataType.simpleString() if scope.df is not None else "unknown"
+        if scope.df is None or self.lambdas:  # a lambda's variable has no type by itself
+            return "unknown"
+        return scope.df.select(c).schema[0].dataType.simpleString()
 
     def expr(self, e: Any, scope: Scope, local: dict[str, Column] | None = None) -> Column:
         local = local or {}
@@ -554,9 +561,12 @@ class Compiler:
             return base[at] if self.kind(base, scope).startswith("map") else F.get(base, F.when(at < 0, F.size(base) + at).otherwise(at))
         if isinstance(e, S.Comprehension):
             source = sub(e.source)
+            self.lambdas += 1
             if e.where is not None:
                 source = F.filter(source, lambda x: F.coalesce(self.expr(e.where, scope, {**local, e.var: x}), F.lit(False)))
-            return F.transform(source, lambda x: self.expr(e.result, scope, {**local, e.var: x})) if e.result is not None else source
+            out = F.transform(source, lambda x: self.expr(e.result, scope, {**local, e.var: x})) if e.result is not None else source
+            self.lambdas -= 1
+            return out
         if isinstance(e, S.Exists):
             raise CypherError("EXISTS { } stands alone or under NOT among the terms of a WHERE")
         return self.call(e, scope, sub)

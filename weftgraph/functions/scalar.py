@@ -96,7 +96,4 @@ def aggregate(name: str, args: list[Column], distinct: bool, p: float | None = N
         return F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))).otherwise(F.lit(0.0))
     if name == "stdevp":
         return F.coalesce(F.stddev_pop(x), F.lit(0.0))
-    p = 0.5 if p is None else p
-    if name == "percentilecont":
-        return F.percentile(x, p)
-    return F.percentile_disc(x, p) if hasattr(F, "percentile_disc") else F.call_function("percentile_disc", x, F.lit(p))
+    return F.percentile(x, 0.5 if p is None else p)
