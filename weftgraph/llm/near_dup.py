@@ -12,15 +12,15 @@ a Jaccard similarity of 0.75 or more are linked; components of links are groups.
    (1 - .75^PAIR)^SIDE * 2 = 1e-4. A sketch that only one class holds can't be part of a shared key,
    so keys are formed only from sketches that at least two classes hold.
 3. Buckets are resolved in rounds, never by all pairs: the first class of each bucket against the
-   others; verified links; components; then only buckets that still hold several components go on,
-   with more pivots each round (1, 8, 16, 32, ...), until none is left. Each round emits at most
+   others; verified links; components; then only buckets that still hold several components go on (of
+   those with the same members one), with more pivots each round (1, 32, 128, ...), until none is left. Each round emits at most
    rows * pivots pairs; a bucket of true copies ends after one. Nothing is capped or dropped: two
    classes of a bucket end verified against one another or in one component.
 4. Components: alternating large-star and small-star rounds on minimum neighbours (aggregations with
    map-side combine), checkpointed, so a hub of any degree is never gathered in one task.
 
 Result per row of the input: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
-Rows with equal doc_id are one row each with their own set; a null doc_id is its own group, is kept
+Rows with equal doc_id are one row each; such a document is linked by any of its sets. A null doc_id is its own group, is kept
 and links nothing. An empty table gives an empty result.
 """
 
@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved
+from ..plans.lineage import cut
+from .common import map_batches, saved, shared_dir
 
 WORDS, SIDE, PAIR = 5, 12, 2
 PERCENT = 75
@@ -113,22 +114,32 @@ def _edges(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: u, v (long). node, component (smallest node reachable), for the nodes of links."""
-    edges = saved(_edges(links), "edges")
-    state = None
+    edges = cut(_edges(links))
     while True:
         # large star: every larger neighbour of a node moves to the smallest of the neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(_edges(large), "edges")
+        large = cut(_edges(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
         # small star: every smaller neighbour, and the node itself
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = saved(_edges(small), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        state = now
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        edges = cut(_edges(small))
+        # done when every node that isn't a root hangs on one root: no node is both, none hangs on two
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        open_nodes = ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("root").alias("root")).where("children > 1 or (children = 1 and root = 1)")
+        if open_nodes.isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def joined_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that the new links join are worked on."""
+    if comp is None:
+        return components(links)
+    of = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c))
+    new = links.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    moved = components(new.select(of("u").alias("u"), of("v").alias("v")))
+    old = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.union(moved.join(comp.select("node"), "node", "left_anti"))
 
 
 def _compatible(a: str, b: str) -> Column:
@@ -146,6 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    shared_dir(df.sparkSession)  # checkpoints go there
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = saved(signatures(docs), "signed")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -159,28 +171,25 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     table = saved(keyed, "keys")
 
     def contracted(table: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """The rows of buckets with several components."""
+        """The rows of buckets with several components; of buckets with the same members one."""
         rows = table.withColumn("comp", F.col("rep")) if comp is None else table.join(comp, table["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return rows.join(open_keys, "key")
+        buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("first")).where("lo < hi")
+        return rows.join(buckets.groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key"), "key")
 
-    table, links, comp, pivots, ids = saved(contracted(table, None), "bucket"), None, None, 1, None
+    table, comp, pivots, sets = cut(contracted(table, None)), None, 1, None
     while not table.isEmpty():
-        if ids is None:  # sets of the classes in any shared bucket, once
+        if sets is None:  # sets of the classes in any shared bucket, once
             ids = table.select(F.col("rep").alias("doc_id")).distinct()
-            chosen = docs.join(ids, "doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-            sets = saved(shingle_sets(chosen.select("doc_id", "text")).dropDuplicates(["doc_id"]), "sets")
+            sets = saved(shingle_sets(docs.join(ids, "doc_id")).distinct(), "sets")
         if pivots == 1:
             first = table.groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("p")).select("key", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
         else:
             first = table.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp"))
         pairs = table.join(first, "key").where((F.col("rep") > F.col("p_rep")) & (F.col("comp") != F.col("p_comp")) & _compatible("n", "p_n")).select(F.col("p_rep").alias("u"), F.col("rep").alias("v")).distinct()
-        found = saved(verified(pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        comp = saved(components(links), "components")
+        comp = cut(joined_components(comp, cut(verified(pairs, sets))))
         rest = table.join(first.select("key", F.col("p_rep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-        table = saved(contracted(rest, comp), "bucket")
-        pivots = max(8, pivots * 2)
+        table = cut(contracted(rest, comp))
+        pivots = max(32, pivots * 4)
 
     spark = df.sparkSession
     if comp is None:
