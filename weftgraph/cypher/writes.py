@@ -126,19 +126,15 @@ class Writer:
         label = n.labels[0] if n.labels else "Node"
         exists = label in self.graph.vertices and all(k in ("id", "__qid") or k in self.graph.vertices[label].properties for k, _ in n.props)
         df = self._scope_df(scope)
-        if not exists:
-            out = self.new_node(n, v, scope)
-            self.assign(c.on_create, out)
-            return out
-        comp = self.compiler()
-        found = comp.run([S.Match([S.Path(None, (S.NodeP(v, n.labels, n.props),), ())])], Scope(df, dict(scope.vars)))
-        hit = cut(found.df)
-        keys = [x for x in df.columns]
-        missing = df.join(hit.select(*keys).distinct(), [df[k].eqNullSafe(hit[k]) for k in keys], "left_anti") if keys else df
-        wanted = cut(missing.dropDuplicates())
-        if not hit.isEmpty():
-            self.assign(c.on_match, Scope(hit, found.vars))
-        if wanted.isEmpty():
+        comp, hit = self.compiler(), None
+        if exists:
+            found = comp.run([S.Match([S.Path(None, (S.NodeP(v, n.labels, n.props),), ())])], Scope(df, dict(scope.vars)))
+            hit = cut(found.df)
+            missing = df.join(hit.select(*df.columns).distinct(), [df[k].eqNullSafe(hit[k]) for k in df.columns], "left_anti")
+            if not hit.isEmpty():
+                self.assign(c.on_match, Scope(hit, found.vars))
+        wanted = cut((missing if exists else df).dropDuplicates())
+        if exists and wanted.isEmpty():
             return Scope(hit, found.vars)
         own = comp.expr(S.MapOf(n.props), Scope(wanted, scope.vars)) if n.props else F.lit(1)
         once = cut(wanted.withColumn("__own", F.xxhash64(own.cast("string"))).dropDuplicates(["__own"]).drop("__own"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,8 +208,6 @@ class Functions:
         self.held[name] = lambda: expression(text)
 
     def register_python(self, name: str, f: Callable[[dict], Any], columns: list[str], kind: str = "string") -> None:
-        import pandas as pd
-
         @F.pandas_udf(kind)
         def batch(rows: pd.DataFrame) -> pd.Series:
             return pd.Series([f(r) for r in rows.to_dict("records")])
