@@ -60,6 +60,15 @@ def test_json_lines_source_skips_bad_lines(spark, tmp_path):
     assert sorted((r.event_id, r.event_time.year) for r in df.collect()) == [("x", 2023), ("y", 2024)]
 
 
+def test_polled_source(spark, tmp_path):
+    records = json.dumps([[str(i), "t", "{}"] for i in range(5)])
+    df = readers.polled(spark, "weftgraph.sources.readers:scripted", records=records)
+    q = df.writeStream.format("memory").queryName("polled").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.event_id for r in spark.table("polled").collect()) == ["0", "1", "2", "3", "4"]
+
+
 def test_event_time_and_log(spark):
     df = spark.createDataFrame([("1700000000",), ("1700000000000",), ("1700000000000000",), ("2023-11-14T22:13:20Z",), ("9999999999",), ("x",)], "t string")
     got = [r.e.timestamp() if r.e else None for r in df.select(temporal.event_time(F.col("t")).alias("e")).collect()]

@@ -3,13 +3,16 @@ can be polled (brokers whose connector isn't on the class path) to Spark's Pytho
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..operators.temporal import event_time
+from ..shipping import ship_package
 
 RAW = "event_id string, event_time timestamp, topic string, payload string"
 
@@ -32,13 +35,22 @@ def kafka(spark: SparkSession, brokers: str, topic: str, *, group: str | None =
     return r.load().select(ident.alias("event_id"), F.col("timestamp").alias("event_time"), F.col("topic"), payload.alias("payload"))
 
 
-#: Clients by name: a function (options, offset) -> (records as RAW tuples, next offset).
-CLIENTS: dict = {}
+def scripted(options: dict, at: int) -> tuple[list[tuple], int]:
+    """A client for tests: the records of the option `records`, a JSON list of [event_id, topic, payload],
+    two at a poll."""
+    rows = json.loads(options["records"])[at : at + 2]
+    return [(i, None, topic, payload) for i, topic, payload in rows], at + len(rows)
+
+
+def _client(path: str):
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class PollSource(DataSource):
-    """format("weft_poll") with the option `client`: polls CLIENTS[client] from the last offset on. A
-    batch that runs again gets the records it had, from the client, by its offset."""
+    """format("weft_poll"): polls a client from the last offset on. The option `client` names a function as
+    "module:function" (it is looked up where the reader runs): (options, offset) -> (RAW tuples, next
+    offset). A batch that runs again gets the records it had, from the client, by its offset."""
 
     @classmethod
     def name(cls) -> str:
@@ -59,21 +71,25 @@ class _Poll(SimpleDataSourceStreamReader):
         return {"at": int(self.options.get("start", 0))}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at = CLIENTS[self.options["client"]](self.options, start["at"])
+        rows, at = _client(self.options["client"])(self.options, start["at"])
         return iter(rows), {"at": at}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         rows, at = [], start["at"]
         while at < end["at"]:
-            more, nxt = CLIENTS[self.options["client"]](self.options, at)
+            more, nxt = _client(self.options["client"])(self.options, at)
             rows += more[: end["at"] - at]
             if nxt == at:
                 break
             at = nxt
         return iter(rows)
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition((start, end))]
+
+def polled(spark: SparkSession, client: str, **options: str) -> DataFrame:
+    """RAW events of a polled client, as a stream."""
+    ship_package(spark)
+    spark.dataSource.register(PollSource)
+    return spark.readStream.format("weft_poll").option("client", client).options(**options).load()
 
 
 def csv_rows(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
