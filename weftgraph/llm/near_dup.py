@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     def contracted(table: DataFrame, comp: DataFrame | None) -> DataFrame:
         """The rows of buckets with several components; of buckets with the same members one."""
         rows = table.withColumn("comp", F.col("rep")) if comp is None else table.join(comp, table["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("first")).where("lo < hi")
+        buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep", "n").cast("decimal(38,0)")).alias("mark"), F.min("rep").alias("first")).where("lo < hi")
         return rows.join(buckets.groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key"), "key")
 
     table, comp, pivots, sets = cut(contracted(table, None)), None, 1, None
