@@ -11,11 +11,11 @@ a Jaccard similarity of 0.75 or more are linked; components of links are groups.
    it agrees on any left and any right sketch; at similarity 0.75 it is missed with a chance below
    (1 - .75^PAIR)^SIDE * 2 = 1e-4. A sketch that only one class holds can't be part of a shared key,
    so keys are formed only from sketches that at least two classes hold.
-3. Buckets are resolved in rounds, never by all pairs: the first class of each bucket against the
-   others; verified links; components; then only buckets that still hold several components go on (of
-   those with the same members one), with more pivots each round (1, 32, 128, ...), until none is left. Each round emits at most
-   rows * pivots pairs; a bucket of true copies ends after one. Nothing is capped or dropped: two
-   classes of a bucket end verified against one another or in one component.
+3. Buckets are resolved without all pairs: first the class of each bucket that meets most others in
+   all buckets, against the bucket's others. Verified links give components. The classes in buckets
+   that still hold several components go on under exact keys: the rarest shingles of each set (the
+   prefix filter with its position bound, which no pair of the similarity escapes), in rounds of 64,
+   1024, ... pivots a key until no key holds two components with unmet members. Nothing is capped.
 4. Components: alternating large-star and small-star rounds on minimum neighbours (aggregations with
    map-side combine), checkpointed, so a hub of any degree is never gathered in one task.
 
@@ -142,9 +142,10 @@ def joined_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return old.union(moved.join(comp.select("node"), "node", "left_anti"))
 
 
-def _compatible(a: str, b: str) -> Column:
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _possible() -> Column:
+    """Whether two rows of one key can have the similarity: their overlap is at most the smaller `room`,
+    what a set has from that key on (for the banding's keys the whole set)."""
+    return (100 + PERCENT) * F.least("room", "p_room") >= PERCENT * (F.col("n") + F.col("p_n"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,6 +157,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").where(100 * both >= PERCENT * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def prefix_keys(sets: DataFrame) -> DataFrame:
+    """key, rep, n, room such that any two of `sets` with the similarity share a key: with all shingles in
+    one order, rarest first, they share one among the first n - ceil(.75 n) + 1 of each, and the
+    first they share leaves room for the overlap. A shingle that only one set has takes its place
+    there but makes no key, so texts that have but a frequent passage in common don't meet."""
+    n = F.size("shingles")
+    each = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("shingles").alias("set"), n.alias("n"), F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("rep", "set")
+    held = each.join(often, "key").withColumn("at", F.row_number().over(own.orderBy("df", "key"))).withColumn("m", F.count("*").over(own))
+    return held.where(F.col("at") <= F.col("m") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("key", "rep", F.col("n").cast("long").alias("n"), (F.col("m") - F.col("at") + 1).cast("long").alias("room"))
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     shared_dir(df.sparkSession)  # checkpoints go there
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -170,26 +184,33 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     keyed = held.select("rep", "n", F.explode("a").alias("a"), "b").select("rep", "n", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep", "n")
     table = saved(keyed, "keys")
 
-    def contracted(table: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """The rows of buckets with several components; of buckets with the same members one."""
-        rows = table.withColumn("comp", F.col("rep")) if comp is None else table.join(comp, table["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep", "n").cast("decimal(38,0)")).alias("mark"), F.min("rep").alias("first")).where("lo < hi")
-        return rows.join(buckets.groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key"), "key")
-
-    table, comp, pivots, sets = cut(contracted(table, None)), None, 1, None
+    def opened(rows: DataFrame) -> DataFrame:
+        """rows: key, rep, n, room, comp. Those of buckets with several components (of buckets with the same
+        members one), with each row's rank in its bucket: the class that meets most others comes first,
+        as the text that copies were made from does."""
+        buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep", "n", "room").cast("decimal(38,0)")).alias("mark"), F.min("rep").alias("first")).where("lo < hi")
+        one = buckets.groupBy("size", "mark", "first").agg(F.min("key").alias("key")).select("key", "size")
+        rows = cut(rows.join(one, "key"))
+        met = rows.groupBy("rep").agg(F.sum("size").alias("met"))
+        order = Window.partitionBy("key").orderBy(F.col("met").desc(), "rep", "n", "room")
+        return cut(rows.join(met, "rep").withColumn("rank", F.row_number().over(order)).select("key", "rep", "n", "room", "comp", "rank"))
+
+    table, comp, pivots, sets = opened(table.withColumn("room", F.col("n")).withColumn("comp", F.col("rep"))), None, 1, None
     while not table.isEmpty():
         if sets is None:  # sets of the classes in any shared bucket, once
             ids = table.select(F.col("rep").alias("doc_id")).distinct()
             sets = saved(shingle_sets(docs.join(ids, "doc_id")).distinct(), "sets")
-        if pivots == 1:
-            first = table.groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("p")).select("key", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
-        else:
-            first = table.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp"))
-        pairs = table.join(first, "key").where((F.col("rep") > F.col("p_rep")) & (F.col("comp") != F.col("p_comp")) & _compatible("n", "p_n")).select(F.col("p_rep").alias("u"), F.col("rep").alias("v")).distinct()
+        first = table.where(F.col("rank") <= pivots).select("key", F.col("rep").alias("p_rep"), F.col("n").alias("p_n"), F.col("room").alias("p_room"), F.col("comp").alias("p_comp"), F.col("rank").alias("p_rank"))
+        pairs = table.join(first, "key").where((F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")) & _possible())
+        pairs = pairs.select(F.least("rep", "p_rep").alias("u"), F.greatest("rep", "p_rep").alias("v")).distinct()
         comp = cut(joined_components(comp, cut(verified(pairs, sets))))
-        rest = table.join(first.select("key", F.col("p_rep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-        table = cut(contracted(rest, comp))
-        pivots = max(32, pivots * 4)
+        rest = table.where(F.col("rank") > pivots).join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "room", F.coalesce("component", "rep").alias("comp"))
+        if pivots == 1:  # what a star didn't settle goes on under exact keys
+            left = opened(rest).select(F.col("rep").alias("doc_id")).distinct()
+            exact = prefix_keys(sets.join(left, "doc_id"))
+            rest = exact.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "room", F.coalesce("component", "rep").alias("comp"))
+        table = opened(rest)
+        pivots = max(64, pivots * 16)
 
     spark = df.sparkSession
     if comp is None:
