@@ -32,8 +32,8 @@ from .common import file_system, map_batches, new_dir
 
 ENTRY = np.dtype([("offset", "<u8"), ("start", "<u8"), ("doc_id", "<i8"), ("n", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
-#: Words a worker remembers; the older half goes when it is full.
-CACHE_WORDS = 600_000
+#: Words a worker remembers (about 200 bytes each); the older half goes when it is full.
+CACHE_WORDS = 1_200_000
 #: str.split() also splits at these, tokenizers don't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -73,6 +73,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def _stem(self, piece: str) -> tuple[str, str]:
@@ -87,32 +90,41 @@ class WordEncoder:
             return piece[:-1], piece[-1]
         return piece, ""
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.cache) + len(pieces) > self.cache_words:
-            for k in list(self.cache)[: len(self.cache) // 2]:
-                del self.cache[k]
-        split = {p: self._stem(p) for p in pieces}
-        parts = {x for ab in split.values() for x in ab if x}
+    def learn(self, parts: set[str]) -> None:
+        """Encodes what isn't remembered: words of letters many to a call, split again at the tokens that
+        end a word; anything else piece by piece."""
         need = [x for x in parts if x not in self.cache]
-        for i in range(0, len(need), 4096):
-            for x, e in zip(need[i : i + 4096], self.library.encode_batch_fast(need[i : i + 4096], add_special_tokens=False), strict=True):
-                self.cache[x] = np.array(e.ids, self.kind).tobytes()
-        for p, (a, b) in split.items():
-            if p not in self.cache:
-                self.cache[p] = self.cache[a] + (self.cache[b] if b else b"")
+        plain = [x for x in need if x.isascii() and x.isalpha()]
+        other = [x for x in need if not (x.isascii() and x.isalpha())]
+        lists = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for words, e in zip(lists, self.library.encode_batch_fast([" ".join(w) for w in lists], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(words):
+                other += words
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            at = 0
+            for w, end in zip(words, (ends * size).tolist(), strict=True):
+                self.cache[w] = raw[at:end]
+                at = end
+        for x, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.cache[x] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
+        cache, get = self.cache, self.cache.get
+        if len(cache) > self.cache_words:  # between texts, so a text never loses a word it needs
+            for k in list(cache)[: len(cache) // 2]:
+                del cache[k]
         pieces = re.findall("[^ \t\n\r\x0b\x0c]+", text) if _SEPARATORS.search(text) else text.split()
-        get = self.cache.get
-        out = [get(p) for p in pieces]
+        out = list(map(get, pieces))
         if None in out:
-            self.learn({p for p, x in zip(pieces, out, strict=True) if x is None})
-            missing = {p for p in pieces if p not in self.cache}
-            if missing:  # a text with more distinct words than the cache holds
-                own = WordEncoder.__new__(WordEncoder)
-                own.__dict__.update(self.__dict__ | {"cache": {}, "cache_words": 1 << 62})
-                return own.encode(text)
-            out = [self.cache[p] for p in pieces]
+            split = {p: self._stem(p) for p, x in zip(pieces, out, strict=True) if x is None}
+            self.learn({x for ab in split.values() for x in ab if x})
+            for i, x in enumerate(out):
+                if x is None:
+                    a, b = split[pieces[i]]
+                    out[i] = cache[a] + cache[b] if b else cache[a]
         return b"".join(out)
 
 
