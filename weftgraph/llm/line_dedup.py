@@ -136,7 +136,8 @@ def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc", "key"])
 
     held = saved(map_batches(docs, suspects, "doc long, key binary"), "suspects")
-    repeats = held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    # written, so that both sides of the join are plain exchanges, which the planner can split by skew
+    repeats = saved(held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "repeats")
     drops = held.join(repeats, "key").where("doc <> first").groupBy("doc").agg(F.collect_set("key").alias("drop"))  # a document's own lines
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

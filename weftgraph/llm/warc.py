@@ -88,7 +88,8 @@ def write_warc(df: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     pages = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     digest, size = F.sha2(F.col("html"), 256), F.octet_length("html")
     narrow = saved(pages.where(size >= MIN_REVISIT).where("page_id is not null").select("page_id", digest.alias("digest")), "digests")
-    shared = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    # written, so that both sides of the join are plain exchanges, which the planner can split by skew
+    shared = saved(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"), "shared")
     revisits = narrow.join(shared, "digest").where("page_id <> first").select("page_id", F.col("digest").alias("_digest"), "first").distinct()
     typed = pages.withColumn("digest", digest).join(revisits.withColumnRenamed("page_id", "_id"), (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "first")
 
