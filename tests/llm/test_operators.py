@@ -200,6 +200,24 @@ def test_decontamination_of_odd_rows(spark, monkeypatch):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.keep_clean(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_an_edited_or_missing_last_sentence(spark, sf):
+    rows, near = spark.read.parquet(f"{sf}/benchmark.parquet").collect(), []
+    for i, t in rows:
+        q, a = decontaminate.parts_of(t)
+        w = a.split()
+        for n, copy in enumerate([q, q + " ".join(w[: len(w) // 2] + ["otherwise"] + w[len(w) // 2 + 1 :])]):
+            whole = decontaminate.shingles_of(decontaminate.words_of(t))
+            if a and len(whole & decontaminate.shingles_of(decontaminate.words_of(copy))) >= 0.75 * len(whole):
+                near.append((2 * i + n, "before it " * 70 + copy + " after it" * 70, "s"))
+    assert {x % 2 for x, _, _ in near} == {0, 1} and len(near) > 20
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs(spark, *near), spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert {(x, x // 2) for x, _, _ in near} <= set(got)
+    assert all(r.item_share >= 0.75 or min(r.question_share, r.answer_share) >= 0.75 for r in got.values())
+    b = spark.createDataFrame([(1, "Which of the four rivers named above runs through the most countries on its way to the sea?", "The second one")], "item_id long, question string, answer string")
+    d = docs(spark, (1, "Which of the four rivers named above runs through the most countries on its way to the sea? The third one", "s"), (2, "Which of the four rivers named above is the longest? The second one", "s"))
+    assert [r.doc_id for r in decontaminate.contaminated(d, b, question="question", answer="answer").collect()] == [1]
+
+
 def test_mixing_weights_and_odd_rows(spark):
     rows = [(i, "w " * 10, "big") for i in range(400)] + [(1000 + i, "w " * 10, "small") for i in range(20)] + [(5000, None, None), (5001, "a b", None)]
     df = docs(spark, *rows)

@@ -6,11 +6,13 @@ text is read once per shard. Every text is cut into overlapping passages that co
 the shard's longest item, passages of two steps, so any item lies inside one passage. Each passage is
 a query; items whose BM25 score is at least `threshold` of the item's score against itself are
 retrieved by block-max WAND (weights are divided by that self score, so one threshold serves all) and
-verified: at least 75 % of the distinct 5-word shingles of the item's question, and of its answer,
-occur in the passage.
+verified: at least 75 % of the distinct 5-word shingles of the whole item occur in the passage, or as
+many of its question's and of its answer's each. So an edited or missing answer of few words doesn't
+drop an item that is there otherwise, and an answer that stands apart from its question is found too.
 
 An item's answer is the last sentence of its text and the question what stands before it, unless
-columns for them are named; an item of one sentence has only a question. Words: A-Z lower-cased, split
+columns for them are named; an item of one sentence has only a question. The whole item is the
+question's words and then the answer's. Words: A-Z lower-cased, split
 at ASCII white space and punctuation. A part of fewer than five words is one shingle;
 an item without words is never found. Null or empty texts match nothing. Rows with equal doc_id
 are searched each for itself and give one result per (doc_id, item_id), the best. Equal items are
@@ -65,7 +67,7 @@ class Index:
     """Postings of normalised BM25 weights in item order. Block b holds the items from b * BLOCK on;
     `most[t, b]` is the largest weight of term t in it, and the last row stands for words of no item."""
 
-    items: list = field(default_factory=list)  # (item_id, question shingles, answer shingles)
+    items: list = field(default_factory=list)  # (item_id, question shingles, answer shingles, shingles of both together)
     terms: dict[bytes, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
@@ -79,7 +81,7 @@ class Index:
             q, a = words_of(question), words_of(answer)
             if not q + a:
                 continue
-            self.items.append((item_id, shingles_of(q), shingles_of(a)))
+            self.items.append((item_id, shingles_of(q), shingles_of(a), shingles_of(q + a)))
             tf: dict[bytes, int] = {}
             for w in q + a:
                 tf[w] = tf.get(w, 0) + 1
@@ -137,8 +139,9 @@ class Index:
             cursors = [c for c in cursors if c[0] < end]
         return out
 
-    def found_in(self, text: str | None, threshold: float, share: float) -> dict[int, tuple[float, float, float]]:
-        """Verified items of a whole text: best (score, question share, answer share) by item number.
+    def found_in(self, text: str | None, threshold: float, share: float) -> dict[int, tuple[float, ...]]:
+        """Verified items of a whole text: best (score, question share, answer share, item share) by
+        item number.
 
         The block maxima of each passage's distinct terms are summed for all passages and blocks at
         once; only blocks that reach the threshold are searched."""
@@ -157,7 +160,7 @@ class Index:
         key = np.unique(key[(key >= 0) & (key < passages * (none + 1))])
         where, terms = key // (none + 1), key % (none + 1)
         starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        out: dict[int, tuple[float, float, float]] = {}
+        out: dict[int, tuple[float, ...]] = {}
         for lo in range(0, len(starts), 256):  # bounded memory for long texts
             some = starts[lo : lo + 256]
             end = starts[lo + 256] if lo + 256 < len(starts) else len(key)
@@ -167,11 +170,11 @@ class Index:
                 last = some[k + 1] if k + 1 < len(some) else end
                 begin = int(where[first]) * self.step
                 for i, score in self.search(terms[first:last].tolist(), int(block), threshold):
-                    _, q, a = self.items[i]
-                    inside = shingles_of_window(words[begin : begin + 2 * self.step], (q, a))
-                    hit = len(q & inside) / len(q) if q else 1.0, len(a & inside) / len(a) if a else 1.0
-                    if min(hit) >= share:
-                        out[i] = max(out.get(i, (0.0, 0.0, 0.0)), (score, *hit))
+                    parts = self.items[i][1:]
+                    inside = shingles_of_window(words[begin : begin + 2 * self.step], parts)
+                    q, a, whole = (len(p & inside) / len(p) if p else 1.0 for p in parts)
+                    if whole >= share or min(q, a) >= share:
+                        out[i] = max(out.get(i, ()), (score, q, a, whole))
         return out
 
 
@@ -200,11 +203,11 @@ def shards(benchmark: DataFrame, item_id: str, text: str, question: str | None,
         yield Index.of(rows)
 
 
-MATCH = "doc_id long, item_id long, score double, question_share double, answer_share double"
+MATCH = "doc_id long, item_id long, score double, question_share double, answer_share double, item_share double"
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, score, question_share, answer_share of every verified match."""
+    """doc_id, item_id, score and the shares of question, answer and whole item of every verified match."""
     spark, out = df.sparkSession, None
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for index in shards(benchmark, item_id, item_text, question, answer):
@@ -214,15 +217,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
             held = sent.value
             for batch in batches:
                 rows = [(d, held.items[i][0], *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, x in held.found_in(t.as_py(), threshold, share).items()]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MATCH.split(", ")])
 
         part = map_batches(docs, look, MATCH)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], MATCH)
-    best = F.max(F.struct("score", "question_share", "answer_share")).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("b.score", 6).alias("score"), "b.question_share", "b.answer_share")
+    best = F.max(F.struct("score", "question_share", "answer_share", "item_share")).alias("b")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("b.score", 6).alias("score"), "b.question_share", "b.answer_share", "b.item_share")
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
