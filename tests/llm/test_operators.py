@@ -1,6 +1,7 @@
 """Each operator against SQL, the library or brute force, and on odd inputs."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -236,3 +237,49 @@ def test_licences(spark):
     df = docs(spark, (1, text, "a"), (2, None, "a"), (3, "", "a"), (4, licenses.TEMPLATES["MIT-text"].replace("Permission", "permission"), "a"))
     got = {(r.doc_id, r.unit, r.license) for r in licenses.scan_licenses(df).collect()}
     assert got == {(1, 2, "Apache-2.0"), (1, 3, "MIT"), (1, 4, "MIT"), (4, 1, "MIT-text")}
+
+
+def best_dice(words, grams):
+    """The largest Dice of any run of words, by trying all."""
+    best = 0.0
+    for a in range(len(words) - 1):
+        own, both = set(), 0
+        for b in range(a + 1, min(len(words), a + 2 * len(grams) + 2)):
+            g = f"{words[b - 1]} {words[b]}"
+            both += g in grams and g not in own
+            own.add(g)
+            best = max(best, 2 * both / (len(own) + len(grams)))
+    return best
+
+
+def test_notices_inside_longer_documents(spark):
+    rng, texts = random.Random(3), licenses.TEMPLATES | licenses.FULL_TEXTS
+    other = lambda n: " ".join(f"other{i % 37} words" for i in range(n // 2))
+    rows, where = [], {}
+    for n, (k, t) in enumerate(texts.items()):
+        wrapped = textwrap.wrap(t, 72)
+        rows.append((n, other(100) + "\n" + "\n".join(wrapped) + "\n" + other(100), "s"))
+        where[n] = (k, 2, 1 + len(wrapped))
+        rows.append((100 + n, f"Copyright 2020 A Holder. {t} {other(100)}\n{t}", "s"))
+    names = ("MIT-text", "GPL-3.0-header", "BSD-2-Clause-full", "Apache-2.0")
+    for n in range(60):
+        w = texts[names[n % 4]].split()
+        for _ in range(rng.randint(0, len(w) // 8)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [w[i], "and"], ["changed"]])
+        rows.append((1000 + n, other(20) + " ".join(w) + " " + other(20), "s"))
+    rows += [(2000, None, "s"), (2001, "", "s"), (2002, "under the", "s"), (2003, other(3000), "s")]
+    got = {}
+    for r in licenses.find_notices(docs(spark, *rows)).collect():
+        got.setdefault((r.doc_id, r.license), []).append((r.first_line, r.last_line, r.dice))
+    for n, (k, first, last) in where.items():
+        assert got[n, k] == [(first, last, 1.0)]
+        assert got[100 + n, k] == [(1, 1, 1.0), (2, 2, 1.0)]
+    judged = {True: 0, False: 0}
+    for n, t, _ in rows[-64:-4]:
+        for k in names:
+            best = best_dice(licenses.words_of(t), set(licenses.bigrams_of(texts[k])))
+            judged[best >= 0.8] += 1
+            assert ((n, k) in got) == (best >= 0.8), (n, k, best)
+            assert (n, k) not in got or abs(max(x[2] for x in got[n, k]) - best) < 0.02
+    assert min(judged.values()) > 10 and not any(d >= 2000 for d, _ in got)

@@ -1,6 +1,7 @@
 """One query per operator over its whole table, with production parameters, and their SQL.
 
-Without SQL: op2 and op10 (a tokenizer's ids) and op9 (BM25 retrieval); tests/llm holds them against
+Without SQL: op2 and op10 (a tokenizer's ids), op9 (BM25 retrieval) and op8_license_notices (runs of any
+length); tests/llm holds them against
 the library and against brute force.
 """
 
@@ -57,6 +58,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_notices(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -66,7 +71,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_token_records(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_warc, op5_chat_format, op6_quality_rules, op7_minhash_near_dup, op8_license_scan, op9_decontamination, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_warc, op5_chat_format, op6_quality_rules, op7_minhash_near_dup, op8_license_scan, op9_decontamination, op10_token_records, op8_license_notices)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
