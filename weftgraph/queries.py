@@ -230,6 +230,13 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return analytics.recommendations(e, 2)
 
 
+@_add("recommendations_knows", f"WITH {_KNOWS}, w AS (SELECT u, v FROM e UNION SELECT v, u FROM e), t AS (SELECT x.u AS start, y.v AS candidate, count(*) AS common FROM w x JOIN w y ON x.v = y.u WHERE x.u <> y.v GROUP BY 1, 2) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM w WHERE u = start AND v = candidate)")
+def recommendations_knows(spark: SparkSession, d: str) -> DataFrame:
+    """Over every customer and every KNOWS edge, both ways."""
+    e = _knows(spark, d).select("src", "dst")
+    return analytics.recommendations(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 1)
+
+
 @_add("common_neighbors", "WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) SELECT x.o AS a, y.o AS b, x.s AS common FROM e x JOIN e y ON x.s = y.s AND y.o = x.o + 1")
 def common_neighbors(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
