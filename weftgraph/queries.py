@@ -274,15 +274,16 @@ def asof_join(spark: SparkSession, d: str) -> DataFrame:
 _DISTANCES = {"l2": "sqrt(list_sum(list_transform(list_zip(q.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))", "cosine": "1 - list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(e.v, lambda x: x * x))))", "ip": "-list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2]))"}
 
 
-def _knn_query(metric: str) -> None:
+def _knn_query(metric: str, name: str, queries: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         v = _t(spark, d, "embeddings")
-        return knn.knn(v, v.where("vec_id < 10"), 5, metric).select("query_id", "vec_id", "rank", (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
-    _add(f"knn_{metric}", f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, e.vec_id, {_DISTANCES[metric]} AS d FROM e q, e WHERE q.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM x) SELECT query_id, vec_id, rank, round(d, 5) + 0.0 AS distance FROM r WHERE rank <= 5")(run)
+        return knn.knn(v, v.where(queries), 5, metric).select("query_id", "vec_id", "rank", (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
+    _add(f"knn_{metric}{name}", f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, e.vec_id, {_DISTANCES[metric]} AS d FROM e q, e WHERE q.{queries}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM x) SELECT query_id, vec_id, rank, round(d, 5) + 0.0 AS distance FROM r WHERE rank <= 5")(run)
 
 
 for _m in knn.METRICS:
-    _knn_query(_m)
+    _knn_query(_m, "", "vec_id < 10")
+    _knn_query(_m, "_every_50th", "vec_id % 50 = 0")
 
 
 # --- event time ---------------------------------------------------------------------------------------------
