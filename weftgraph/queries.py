@@ -68,6 +68,10 @@ _cypher("hop_undirected", "MATCH (a:Customer)-[:KNOWS]-(b:Customer) WHERE a.id <
 WITH k AS (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
 u AS (SELECT a, b FROM k WHERE b IS NOT NULL UNION ALL SELECT b, a FROM k WHERE b IS NOT NULL)
 SELECT a AS id, count(*) AS n FROM u WHERE a < 200 GROUP BY 1""")
+_cypher("hop_undirected_all", "MATCH (a:Customer)-[:KNOWS]-(b:Customer) RETURN a.id AS id, count(*) AS n", """
+WITH k AS (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer),
+u AS (SELECT a, b FROM k WHERE b IS NOT NULL UNION ALL SELECT b, a FROM k WHERE b IS NOT NULL)
+SELECT a AS id, count(*) AS n FROM u GROUP BY 1""")
 _cypher("hop_untyped", "MATCH (x)-[r]->(n:Nation) RETURN type(r) AS rel, labels(x)[0] AS label, count(*) AS n",
         "SELECT 'IN_NATION' AS rel, 'Customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'IN_NATION', 'Supplier', count(*) FROM supplier")
 _cypher("multi_hop_chain", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.name AS region, count(o) AS orders, round(sum(o.totalprice), 2) AS total", """
@@ -131,8 +135,12 @@ _cypher("fn_string", "MATCH (n:Nation) RETURN n.id AS id, toUpper(n.name) AS u,
         "SELECT n_nationkey AS id, upper(n_name) AS u, lower(n_name) AS l, substr(n_name, 2, 3) AS s, left(n_name, 2) AS a, right(n_name, 2) AS b, replace(n_name, 'A', '_') AS r, length(n_name) AS n, reverse(n_name) AS v, 'x ' || n_name AS t, 'b' AS p FROM nation")
 _cypher("fn_math", "MATCH (c:Customer) WHERE c.id < 50 RETURN c.id AS id, abs(c.acctbal) AS a, round(sqrt(abs(c.acctbal)), 6) AS s, floor(c.acctbal) AS f, ceil(c.acctbal) AS c, sign(c.acctbal) AS g, round(log(1 + c.id), 6) AS l, c.id % 7 AS m, c.id / 4 AS d, -c.id AS neg",
         "SELECT c_custkey AS id, abs(c_acctbal) AS a, round(sqrt(abs(c_acctbal)), 6) AS s, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, sign(c_acctbal)::BIGINT AS g, round(ln(1 + c_custkey), 6) AS l, c_custkey % 7 AS m, c_custkey / 4 AS d, -c_custkey AS neg FROM customer WHERE c_custkey < 50")
+_cypher("fn_math_all", "MATCH (c:Customer) RETURN c.id AS id, abs(c.acctbal) AS a, round(sqrt(abs(c.acctbal)), 6) AS s, floor(c.acctbal) AS f, ceil(c.acctbal) AS c, sign(c.acctbal) AS g, round(log(1 + c.id), 6) AS l, c.id % 7 AS m, c.id / 4 AS d, -c.id AS neg",
+        "SELECT c_custkey AS id, abs(c_acctbal) AS a, round(sqrt(abs(c_acctbal)), 6) AS s, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, sign(c_acctbal)::BIGINT AS g, round(ln(1 + c_custkey), 6) AS l, c_custkey % 7 AS m, c_custkey / 4 AS d, -c_custkey AS neg FROM customer")
 _cypher("fn_conversion", "MATCH (p:Part) WHERE p.id < 30 RETURN p.id AS id, toString(p.size) AS s, toInteger('12') + p.size AS i, toFloat('1.5') AS f, toBoolean('true') AS b, toInteger(p.retailprice) AS r, coalesce(null, p.size, 0) AS c",
         "SELECT p_partkey AS id, p_size::VARCHAR AS s, 12 + p_size AS i, 1.5::DOUBLE AS f, true AS b, trunc(p_retailprice)::BIGINT AS r, p_size AS c FROM part WHERE p_partkey < 30")
+_cypher("fn_conversion_all", "MATCH (p:Part) RETURN p.id AS id, toString(p.size) AS s, toInteger('12') + p.size AS i, toFloat('1.5') AS f, toBoolean('true') AS b, toInteger(p.retailprice) AS r, coalesce(null, p.size, 0) AS c",
+        "SELECT p_partkey AS id, p_size::VARCHAR AS s, 12 + p_size AS i, 1.5::DOUBLE AS f, true AS b, trunc(p_retailprice)::BIGINT AS r, p_size AS c FROM part")
 _cypher("fn_list", "UNWIND [[1, 2, 3], [4, 5, 6]] AS l RETURN head(l) AS h, last(l) AS t, size(tail(l)) AS n, l[1] AS m, l[-1] AS z, 2 IN l AS has, size(l + [7]) AS more",
         "SELECT * FROM (VALUES (1, 3, 2, 2, 3, true, 4), (4, 6, 2, 5, 6, false, 4)) v(h, t, n, m, z, has, more)")
 _cypher("fn_temporal", "MATCH (o:Order) RETURN o.id AS id, date(o.orderdate) AS d, time_window_bucket(-1, 60000) AS w",
@@ -157,6 +165,8 @@ _sql("sql_window_rank", "SELECT id, mktsegment, row_number() OVER (PARTITION BY
      "SELECT c_custkey AS id, c_mktsegment AS mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal / 1000)) AS dr, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS q FROM customer")
 _sql("sql_window_offset", "SELECT id, lag(value) OVER (ORDER BY id) AS prev, lead(event_type, 2) OVER (ORDER BY id) AS nxt, first_value(value) OVER (PARTITION BY event_type ORDER BY id) AS f FROM Event WHERE id < 500",
      "SELECT event_id AS id, lag(value) OVER (ORDER BY event_id) AS prev, lead(event_type, 2) OVER (ORDER BY event_id) AS nxt, first_value(value) OVER (PARTITION BY event_type ORDER BY event_id) AS f FROM events WHERE event_id < 500")
+_sql("sql_window_offset_all", "SELECT id, lag(value) OVER (ORDER BY id) AS prev, lead(event_type, 2) OVER (ORDER BY id) AS nxt, first_value(value) OVER (PARTITION BY event_type ORDER BY id) AS f FROM Event",
+     "SELECT event_id AS id, lag(value) OVER (ORDER BY event_id) AS prev, lead(event_type, 2) OVER (ORDER BY event_id) AS nxt, first_value(value) OVER (PARTITION BY event_type ORDER BY event_id) AS f FROM events")
 _sql("sql_window_frame", "SELECT id, round(sum(totalprice) OVER (PARTITION BY orderstatus ORDER BY id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 2) AS s FROM `Order`",
      "SELECT o_orderkey AS id, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 2) AS s FROM orders")
 _sql("sql_grouping_sets", "SELECT orderstatus, orderpriority, count(*) AS n FROM `Order` GROUP BY ROLLUP (orderstatus, orderpriority)",
@@ -185,6 +195,9 @@ def _next_events(spark: SparkSession, d: str) -> DataFrame:
 _cypher("var_length_1_3", "MATCH (a:Customer)-[:KNOWS*1..3]->(b:Customer) WHERE a.id < 100 RETURN a.id AS a, b.id AS b", f"""
 WITH RECURSIVE {_KNOWS}, r AS (SELECT u AS a, v AS b, 1 AS d FROM e UNION SELECT r.a, e.v, d + 1 FROM r JOIN e ON r.b = e.u WHERE d < 3)
 SELECT DISTINCT a, b FROM r WHERE a < 100""")
+_cypher("var_length_1_3_all", "MATCH (a:Customer)-[:KNOWS*1..3]->(b:Customer) RETURN a.id AS a, b.id AS b", f"""
+WITH RECURSIVE {_KNOWS}, r AS (SELECT u AS a, v AS b, 1 AS d FROM e UNION SELECT r.a, e.v, d + 1 FROM r JOIN e ON r.b = e.u WHERE d < 3)
+SELECT DISTINCT a, b FROM r""")
 _cypher("var_length_exact", "MATCH (a:Customer)-[:KNOWS*2]->(b) RETURN a.id AS a, b.id AS b", f"WITH {_KNOWS} SELECT DISTINCT x.u AS a, y.v AS b FROM e x JOIN e y ON x.v = y.u")
 
 
@@ -209,6 +222,15 @@ def closure_incremental(spark: SparkSession, d: str) -> DataFrame:
     return paths.closure_add(paths.closure_remove(e, one, reach, 8), e.join(one, ["u", "v"], "left_anti"), one, 8)
 
 
+@_add("closure_incremental_all", f"WITH RECURSIVE {_KNOWS}, r AS (SELECT u, v, 1 AS distance FROM e UNION SELECT r.u, e.v, distance + 1 FROM r JOIN e ON r.v = e.u WHERE distance < 8) SELECT u, v, min(distance) AS distance FROM r GROUP BY 1, 2")
+def closure_incremental_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same on every KNOWS edge; a tenth of them is taken away and put back."""
+    e = _knows(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    old, new, some = e.where("u % 2 = 0"), e.where("u % 2 = 1"), e.where("u % 10 = 4")
+    reach = paths.closure_add(paths.closure(old, 8), old, new, 8)
+    return paths.closure_add(paths.closure_remove(e, some, reach, 8), e.join(some, ["u", "v"], "left_anti"), some, 8)
+
+
 @_add("shortest_path", f"WITH RECURSIVE {_KNOWS}, r AS (SELECT u AS start, v AS goal, 1 AS hops FROM e UNION SELECT r.start, e.v, hops + 1 FROM r JOIN e ON r.goal = e.u WHERE hops < 6) SELECT start, goal, min(hops) AS hops FROM r WHERE goal % 10 = 3 GROUP BY 1, 2")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     e = _knows(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))
@@ -216,6 +238,13 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return paths.shortest_paths(e, reached, 6)
 
 
+@_add("shortest_path_all", f"WITH RECURSIVE {_KNOWS}, r AS (SELECT u AS start, v AS goal, 1 AS hops FROM e UNION SELECT r.start, e.v, hops + 1 FROM r JOIN e ON r.goal = e.u WHERE hops < 6) SELECT start, goal, min(hops) AS hops FROM r GROUP BY 1, 2")
+def shortest_path_all(spark: SparkSession, d: str) -> DataFrame:
+    e = _knows(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    reached = paths.var_length(e, e.select(F.col("u").alias("start")).distinct(), 1, 6).select("start", F.col("node").alias("goal"))
+    return paths.shortest_paths(e, reached, 6)
+
+
 @_add("friends_of_friends", f"WITH {_KNOWS}, w AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e) SELECT DISTINCT x.u AS start, y.v AS candidate FROM w x JOIN w y ON x.v = y.u WHERE x.u <> y.v AND NOT EXISTS (SELECT 1 FROM w z WHERE z.u = x.u AND z.v = y.v)")
 def friends_of_friends(spark: SparkSession, d: str) -> DataFrame:
     e = _knows(spark, d).select("src", "dst")
