@@ -219,6 +219,20 @@ def test_decontamination_of_an_edited_or_missing_last_sentence(spark, sf):
     assert [r.doc_id for r in decontaminate.contaminated(d, b, question="question", answer="answer").collect()] == [1]
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_decontamination_scores_do_not_depend_on_shards(spark, sf, monkeypatch, named):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    d = b.selectExpr("item_id as doc_id", "concat(repeat('before it ', 40), regexp_replace(text, '^[^ ]+ ', 'changed '), repeat(' after it', 40)) as text")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "...")], b.schema)
+    columns = {"question": "text", "answer": "extra"} if named else {}
+    items = b.unionByName(more).selectExpr("item_id", "text", "'It is the last one.' as extra")
+    d = d.selectExpr("doc_id", "concat(text, ' It is the last one.') as text")
+    want = sorted(map(tuple, decontaminate.contaminated(d, items, **columns).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 13)
+    got = sorted(map(tuple, decontaminate.contaminated(d, items, **columns).collect()))
+    assert len(want) >= b.count() and got == want
+
+
 def test_mixing_weights_and_odd_rows(spark):
     rows = [(i, "w " * 10, "big") for i in range(400)] + [(1000 + i, "w " * 10, "small") for i in range(20)] + [(5000, None, None), (5001, "a b", None)]
     df = docs(spark, *rows)

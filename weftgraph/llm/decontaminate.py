@@ -2,8 +2,9 @@
 
 The test items are the indexed side and are taken in shards of at most SHARD_ITEMS items and
 SHARD_WORDS words, so the index that is broadcast is bounded however many items there are; a training
-text is read once per shard. Every text is cut into overlapping passages that cover it whole: steps of
-the shard's longest item, passages of two steps, so any item lies inside one passage. Each passage is
+text is read once per shard. Document frequencies, mean length and passages are those of all items, so
+scores don't depend on the shards. Every text is cut into overlapping passages that cover it whole: steps of
+the longest item, passages of two steps, so any item lies inside one passage. Each passage is
 a query; items whose BM25 score is at least `threshold` of the item's score against itself are
 retrieved by block-max WAND (weights are divided by that self score, so one threshold serves all) and
 verified: at least 75 % of the distinct 5-word shingles of the whole item occur in the passage, or as
@@ -24,16 +25,16 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, saved
 
 K1, B = 1.2, 0.75
 WORDS, SHARE, THRESHOLD = 5, 0.75, 0.6
@@ -62,6 +63,37 @@ def parts_of(text: str | None) -> tuple[str, str]:
     return ((text or "")[: ends[-1]], (text or "")[ends[-1] :]) if ends else (text or "", "")
 
 
+@dataclass
+class Whole:
+    """Figures of all items: number, mean and largest length, and a saved table (word, n) of document frequencies."""
+
+    n: int
+    mean: float
+    longest: int
+    words: DataFrame
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> Whole:
+        """texts: one column. A row without a word stands for each item and has its length."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t in batch.column(0):
+                    if words := words_of(t.as_py()):
+                        yield pa.RecordBatch.from_pydict({"word": pa.array([None, *sorted(set(words))], pa.binary()), "length": pa.array([len(words)] + [0] * len(set(words)), pa.int64())})
+
+        grouped = map_batches(texts, count, "word binary, length long").groupBy("word")
+        held = saved(grouped.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest")), "item-words")
+        r = held.where("word is null").first()
+        return cls(r.n, r.total / r.n, r.longest, held.where("word is not null").select("word", "n")) if r else cls(0, 0.0, 0, held.select("word", "n"))
+
+    def frequencies(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        """Document frequencies of one shard's words, in their order."""
+        some = self.words.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+        n = {bytes(r.word): r.n for r in self.words.join(F.broadcast(some), "word", "left_semi").collect()}
+        return {w: n[w] for w in words}
+
+
 @dataclass
 class Index:
     """Postings of normalised BM25 weights in item order. Block b holds the items from b * BLOCK on;
@@ -74,8 +106,8 @@ class Index:
     step: int = WORDS
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Index:
-        """rows: (item_id, question, answer)."""
+    def of(cls, rows: list[tuple], whole: Whole | None = None) -> Index:
+        """rows: (item_id, question, answer); whole: of the items that `rows` is a shard of, if not all."""
         self, counts, lengths = cls(), [], []
         for item_id, question, answer in rows:
             q, a = words_of(question), words_of(answer)
@@ -87,14 +119,17 @@ class Index:
                 tf[w] = tf.get(w, 0) + 1
             counts.append(tf)
             lengths.append(len(q) + len(a))
-        n, mean = len(counts), sum(lengths) / max(1, len(lengths))
+        n, mean, longest = len(counts), sum(lengths) / max(1, len(lengths)), max(lengths, default=0)
         df: dict[bytes, int] = {}
         for tf in counts:
             for w in tf:
                 df[w] = df.get(w, 0) + 1
+        here = n
+        if whole is not None and n:
+            n, mean, longest, df = whole.n, whole.mean, whole.longest, whole.frequencies(df)
         self.terms = {w: t for t, w in enumerate(df)}
         self.postings = [([], []) for _ in df]
-        self.most = np.zeros((len(df) + 1, -(-n // BLOCK)), np.float32)
+        self.most = np.zeros((len(df) + 1, -(-here // BLOCK)), np.float32)
         for i, tf in enumerate(counts):
             weight = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[i] / mean)) for w, c in tf.items()}
             whole = sum(weight.values())
@@ -103,7 +138,7 @@ class Index:
                 self.postings[t][0].append(i)
                 self.postings[t][1].append(x / whole)
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], x / whole)
-        self.step = max([WORDS, *lengths])
+        self.step = max(WORDS, longest)
         return self
 
     def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
@@ -188,19 +223,29 @@ def shingles_of_window(words: list[bytes], parts) -> set[bytes]:
 
 def shards(benchmark: DataFrame, item_id: str, text: str, question: str | None, answer: str | None) -> Iterator[Index]:
     """Indexes of bounded size over all items, in the order of their ids; rows come to the driver one
-    partition at a time and are kept for one shard only."""
+    partition at a time and are kept for two shards at most."""
     cols = [F.col(item_id).cast("long").alias("i"), F.col(text).alias("t") if question is None else F.struct(F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")).alias("t")]
+    items = benchmark.select(*cols)
+    groups = _grouped(items, question is None)
+    first = list(islice(groups, 2))
+    # one shard has the figures of all items in itself
+    whole = Whole.of(items.select("t" if question is None else F.concat_ws(" ", "t.q", "t.a").alias("t"))) if len(first) > 1 else None
+    for rows in chain(first, groups):
+        yield Index.of(rows, whole)
+
+
+def _grouped(items: DataFrame, split: bool) -> Iterator[list[tuple]]:
     rows, size = [], 0
-    for r in benchmark.select(*cols).orderBy("i").toLocalIterator():
-        q, a = parts_of(r.t) if question is None else (r.t.q, r.t.a)
+    for r in items.orderBy("i").toLocalIterator():
+        q, a = parts_of(r.t) if split else (r.t.q, r.t.a)
         n = len((q or "").split()) + len((a or "").split())
         if rows and (len(rows) >= SHARD_ITEMS or size + n > SHARD_WORDS):
-            yield Index.of(rows)
+            yield rows
             rows, size = [], 0
         rows.append((r.i, q, a))
         size += n
     if rows:
-        yield Index.of(rows)
+        yield rows
 
 
 MATCH = "doc_id long, item_id long, score double, question_share double, answer_share double, item_share double"
