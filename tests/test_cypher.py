@@ -2,6 +2,7 @@ import pytest
 
 from weftgraph.catalog import Graph
 from weftgraph.cypher import syntax as S
+from weftgraph.plans.paths import var_length
 from weftgraph.session import GraphSession
 
 
@@ -72,3 +73,14 @@ def test_plan_prunes_and_pushes(spark, sf):
 
     plan = GraphSession(spark, tpch_graph(spark, sf)).explain("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 5 RETURN c.mktsegment AS s, count(*) AS n")
     assert "GreaterThan(o_totalprice,5.0)" in plan and "c_name" not in plan and "CartesianProduct" not in plan
+
+
+def test_paths_of_more_than_eight_hops(spark):
+    ids = [f"n{i:02}" for i in range(20)]
+    g = Graph(spark).with_vertices("Stop", spark.createDataFrame([(i,) for i in ids], "id string"))
+    s = GraphSession(spark, g.with_edges("NEXT", "Stop", "Stop", spark.createDataFrame(list(zip(ids, ids[1:])) + [("n19", "n17")], "src string, dst string")))
+    far = lambda length: [x for x, in rows(s, f"MATCH (a:Stop {{id: 'n00'}})-[:NEXT*{length}]->(b) RETURN b.id AS b ORDER BY b")]
+    assert far("1..10") == ids[1:11] and far("9..10") == ids[9:11]
+    assert far("") == ids[1:] and far("0..") == ids and far("12..") == ids[12:]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u string, v string")
+    assert var_length(edges, spark.createDataFrame([("n00",)], "start string"), 1, 12).count() == 12

@@ -3,37 +3,46 @@ transitive closure. Every level is one equi-join on the frontier; visited pairs
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Longest variable-length pattern; an open upper end means this.
-MAX_HOPS = 8
+#: After so many levels what they have found is cut, so that plans don't grow with the length of a path.
+CUT_LEVELS = 8
 
 
-def levels(edges: DataFrame, starts: DataFrame, longest: int):
+def levels(edges: DataFrame, starts: DataFrame, longest: int | None):
     """edges: u, v; starts: start (distinct). Yields for depth 1, 2, ...: (start, node) reached by an
-    edge from a node whose distance is depth - 1; ends with an empty frontier."""
+    edge from a node whose distance is depth - 1; ends with an empty frontier, or after `longest`."""
     edges = edges.select("u", "v").distinct()
     frontier = starts.select("start", F.col("start").alias("node"))
     visited = frontier
-    for depth in range(1, longest + 1):
+    for depth in count(1):
+        if longest is not None and depth > longest:
+            return
         step = cut(frontier.join(edges, frontier["node"] == edges["u"]).select("start", F.col("v").alias("node")).distinct())
         yield depth, step
         frontier = cut(step.join(visited, ["start", "node"], "left_anti"))
         if depth == longest or frontier.isEmpty():
             return
         visited = visited.unionByName(frontier)
+        if depth % CUT_LEVELS == 0:
+            visited = cut(visited)
 
 
 def var_length(edges: DataFrame, starts: DataFrame, least: int, most: int | None) -> DataFrame:
     """Distinct (start, node): an edge u -> node exists with dist(start, u) = d - 1 for some d in
-    [least, most]; with least = 0 the start itself as well."""
+    [least, most]; with least = 0 the start itself as well. most = None: as far as there are edges."""
     parts = [starts.select("start", F.col("start").alias("node"))] if least == 0 else []
-    for depth, step in levels(edges, starts, MAX_HOPS if most is None else min(most, MAX_HOPS)):
+    for depth, step in levels(edges, starts, most):
         if depth >= least:
             parts.append(step)
+        if len(parts) > CUT_LEVELS:
+            parts = [cut(reduce(DataFrame.unionByName, parts).distinct())]
     if not parts:
         return starts.select("start", F.col("start").alias("node")).limit(0)
     out = parts[0]
