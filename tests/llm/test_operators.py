@@ -246,6 +246,14 @@ def test_mixing_weights_and_odd_rows(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_of_sources_without_tokens(spark):
+    some = [(i, "one two three", "a" if i % 2 else "b") for i in range(20)]
+    none = [(100, None, "null"), (101, "", "empty"), (102, " \n\t", "white"), (103, None, "white")]
+    mixed = lambda rows: sorted((r.source, r.doc_id, r.mix_block, r.mix_key) for r in mixing.mix_sources(docs(spark, *rows)).collect())
+    assert mixed(some + none) == mixed(some) and mixed(some)
+    assert mixed(none) == []
+
+
 def test_licences(spark):
     text = "intro\n  LICENSED under the Apache License, version 2.0!\nReleased under the MIT License.\nReleased under the MIT License."
     df = docs(spark, (1, text, "a"), (2, None, "a"), (3, "", "a"), (4, licenses.TEMPLATES["MIT-text"].replace("Permission", "permission"), "a"))

@@ -12,7 +12,8 @@ a third of all rows costs no more per task than any other. The driver sees a few
 
 Null source: the source named ''. Null or empty text: no tokens; such documents come with every
 whole block and with the head as far as it reaches. Rows with equal doc_id in one source share a
-place in the permutation and stay together. An empty table gives an empty result.
+place in the permutation and stay together. A source without any token has no share: none of its
+documents comes out, and it doesn't count among the sources. An empty table gives an empty result.
 """
 
 from __future__ import annotations
