@@ -7,14 +7,18 @@ costs each task one row. Then each page meets its record type by (page_id, diges
 archives of about ROTATE bytes under names of their own and return them; the manifest lists what the
 finished job returned, so files of lost attempts are never read.
 
-Reading. Archives are cut into byte ranges. A task scans its range for gzip magic, accepts a candidate
-whose member decodes to a WARC header, and from there goes from member to member; it owns the records
-that start inside its range and reads past the range's end to finish the last one. If the chain breaks
-(a chance match in compressed data) it goes back and scans on behind the candidate. Checked on
-reading: content length, and the SHA-256 of each response's payload against its header.
+Reading. Archives are cut into byte ranges. A task scans its range for gzip magic, validates a candidate
+member by decoding it (its own checksum, a WARC header, the content length, and the SHA-256 of a response's
+payload), and from there goes from member to member; it owns the records that start inside its range and
+reads past the range's end to finish the last one. A candidate is judged by itself alone, so what is
+found doesn't depend on where ranges begin, nor on damage before or behind a record. Bytes that belong
+to no record are skipped; `skipped_bytes` counts them for each archive.
 
 Null html: empty payload. A page_id of null: always a response, and never referred to. Rows with equal
-page_id and payload: all responses or all revisits of a smaller page_id.
+page_id and payload: all responses or all revisits of a smaller page_id. A payload of any length is one
+record, held in memory while it is written and read; records that are longer than a range are read by
+the task in whose range they start. An empty table: no archives, no records. Extra columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .common import file_system, map_batches, new_dir, saved
 MIN_REVISIT = 100
 ROTATE, SPLIT, READ = 256 << 20, 32 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string, offset long, member_bytes long"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -67,10 +71,12 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parsed(raw: bytes) -> tuple:
-    """The RECORD fields of a decoded member."""
+    """The RECORD fields, up to the payload, of a decoded member; ValueError if it isn't a whole record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
+    if not {"Content-Length", "WARC-Type", "WARC-Payload-Digest", "WARC-Record-ID"} <= fields.keys():
+        raise ValueError("a field is missing")
     n = int(fields["Content-Length"])
     if len(rest) != n + 4:
         raise ValueError(f"record {fields.get('WARC-Record-ID')}: content length {n}, found {len(rest) - 4}")
@@ -135,62 +141,49 @@ class _Window:
         return self.data[at - self.at : at - self.at + n]
 
 
-def _decoded(w: _Window, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at `at`; None if there is none or it isn't a record's."""
+def _decoded(w: _Window, at: int) -> tuple[tuple, int] | None:
+    """(RECORD fields, end) of the gzip member at `at`; None if there is none or it isn't a whole record."""
     if w.read(at, 3) != MAGIC:
         return None
-    unpack, out, pos, first = zlib.decompressobj(31), [], at, True
+    unpack, out, pos, head = zlib.decompressobj(31), [], at, b""
     try:
         while not unpack.eof:
-            data = w.read(pos, 1 << 14 if first else READ)
+            data = w.read(pos, READ if head else 1 << 14)
             if not data:
                 return None
             out.append(unpack.decompress(data))
             pos += len(data)
-            if first and sum(map(len, out)) >= 5 and not b"".join(out).startswith(b"WARC/"):
-                return None
-            first = False
-            if head_only and sum(map(len, out)) >= 5:
-                return b"".join(out), pos
-    except zlib.error:
+            if len(head) < 5:  # what doesn't begin like a record isn't decoded any further
+                head = (head + out[-1])[:5]
+                if not b"WARC/".startswith(head):
+                    return None
+        return parsed(b"".join(out)), pos - len(unpack.unused_data)
+    except (zlib.error, ValueError, UnicodeDecodeError):
         return None
-    raw = b"".join(out)
-    return (raw, pos - len(unpack.unused_data)) if raw.startswith(b"WARC/") else None
 
 
-def records_from(file, start: int, stop: int) -> Iterator[bytes]:
-    """The decoded records that start in [start, stop) of an open archive."""
+def records_from(file, start: int, stop: int) -> Iterator[tuple[int, int, tuple]]:
+    """(offset, end, RECORD fields) of the records that start in [start, stop) of an open archive."""
     w = _Window(file)
     at = start
     while at < min(stop, w.size):
-        data = w.read(at, READ)
-        k = data.find(MAGIC)
-        if k < 0:
-            at += max(1, len(data) - 2)
-            continue
-        candidate = at + k
-        if candidate >= stop:
-            return
-        got = _decoded(w, candidate)
-        # a true member is followed by another one or by the end of the file
-        if got is None or not (got[1] >= w.size or _decoded(w, got[1], head_only=True)):
-            at = candidate + 1
-            continue
-        while got is not None:
-            yield got[0]
+        if (got := _decoded(w, at)) is not None:
+            yield at, got[1], got[0]
             at = got[1]
-            if at >= min(stop, w.size):
-                return
-            got = _decoded(w, at)
-        # damaged from here on: scan for the next record
+            continue
+        data = w.read(at + 1, READ)  # not a record's begin: on to the next magic
+        k = data.find(MAGIC)
+        at += 1 + (k if k >= 0 else max(1, len(data) - 2))
 
 
 def read_warc(manifest: DataFrame, *, split: int = SPLIT, payload: bool = True) -> DataFrame:
     """All records of the archives that `manifest` (path, n_bytes) names, as RECORD."""
     ranges = manifest.where("n_bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    tasks = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split))).first()[0] or 1
+    # a stated number of partitions, which the planner doesn't coalesce: a range is a task's work however small its row is
+    ranges = ranges.repartitionByRange(int(tasks), "path", "start")
     names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
@@ -201,10 +194,9 @@ def read_warc(manifest: DataFrame, *, split: int = SPLIT, payload: bool = True)
                 system, path = file_system(row["path"])
                 rows, held = [], 0
                 with system.open_input_file(path) as f:
-                    for raw in records_from(f, row["start"], row["start"] + split):
-                        x = parsed(raw)
-                        rows.append(x if payload else (*x[:-1], None))
-                        held += len(raw) if payload else 100
+                    for at, end, x in records_from(f, row["start"], row["start"] + split):
+                        rows.append((*(x if payload else (*x[:-1], None)), row["path"], at, end - at))
+                        held += x[2] + 200 if payload else 200
                         if held >= 4 << 20:
                             yield flush(rows)
                             rows, held = [], 0
@@ -212,3 +204,9 @@ def read_warc(manifest: DataFrame, *, split: int = SPLIT, payload: bool = True)
                     yield flush(rows)
 
     return map_batches(ranges, read, RECORD)
+
+
+def skipped_bytes(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """archive, skipped: bytes of each archive that belong to none of its records (0 for a sound one)."""
+    held = records.groupBy(F.col("archive").alias("path")).agg(F.sum("member_bytes").alias("held"))
+    return manifest.select("path", "n_bytes").join(held, "path", "left").select(F.col("path").alias("archive"), (F.col("n_bytes") - F.coalesce("held", F.lit(0))).alias("skipped"))
