@@ -1,5 +1,6 @@
 """Each operator against SQL, the library or brute force, and on odd inputs."""
 
+import hashlib
 import random
 import textwrap
 import zlib
@@ -90,12 +91,37 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_a_full_filter_changes_nothing(spark, sf, monkeypatch):
+def test_a_full_filter_and_small_buckets_change_nothing(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(tuple(r) for r in line_dedup.dedup_lines(df).collect())
-    monkeypatch.setattr(line_dedup, "MAX_BITS", 64)
-    monkeypatch.setattr(line_dedup, "MIN_BITS", 64)
+    monkeypatch.setattr(line_dedup, "BITS_PER_LINE", 0.01)
     assert sorted(tuple(r) for r in line_dedup.dedup_lines(df).collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(line_dedup, "BUCKET_LINES", 8)
+    monkeypatch.setattr(line_dedup, "WINDOW", 50)
+    assert sorted(tuple(r) for r in line_dedup.dedup_lines(df).collect()) == want
+
+
+@pytest.mark.parametrize("n", [2000, 20000])
+def test_the_share_of_wrong_suspects_does_not_grow(n):
+    rng = np.random.default_rng(1)
+    once = rng.integers(0, 1 << 63, (n, 2), np.uint64)
+    twice = rng.integers(0, 1 << 63, (n // 10, 2), np.uint64)
+    every = np.concatenate([once, twice, twice]).view(line_dedup.DIGEST)[:, 0]
+    every = every[rng.permutation(len(every))]
+    buckets, chunks, found = max(64, 1 << (len(every) // 64).bit_length()), {}, []
+    for lo in range(0, len(every), 500):
+        some = every[lo : lo + 500]
+        for i, a, b, m in line_dedup.window_rows(some, np.arange(lo, lo + len(some)), buckets):
+            if i < 0:
+                found += np.frombuffer(a, line_dedup.DIGEST)["a"].tolist()
+            else:
+                chunks.setdefault(i, []).append((np.frombuffer(a, line_dedup.DIGEST), np.frombuffer(b, np.int64), np.frombuffer(m, line_dedup.DIGEST)))
+    for c in chunks.values():
+        found += [x for d, _ in line_dedup.suspects(c) for x in d["a"].tolist()]
+    repeats = set(twice[:, 0].tolist())
+    assert repeats <= set(found) and len([x for x in found if x not in repeats]) < 0.02 * n
+    assert sorted(x for x in found if x in repeats) == sorted([*repeats, *repeats])
 
 
 def test_warc_splits_and_odd_rows(spark):
@@ -110,6 +136,31 @@ def test_warc_splits_and_odd_rows(spark):
     assert warc.read_warc(warc.write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_with_damage_reads_the_same_for_every_split(spark, tmp_path):
+    parts = [warc.member(i, f"http://h/{i}", f"<p>{'page ' * i * 20}</p>".encode(), hashlib.sha256(f"<p>{'page ' * i * 20}</p>".encode()).hexdigest(), None) for i in range(10)]
+    starts = [sum(map(len, parts[:i])) for i in range(11)]
+    bad = bytearray(parts[4])
+    bad[len(bad) // 2] ^= 0xFF
+    lost = warc.member(7, None, b"other than its digest says", "0" * 64, None)
+    data = b"".join([*parts[:4], bytes(bad), *parts[5:7], lost, *parts[8:]])
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data), 10)], "path string, n_bytes long, n_records long")
+    for split in (40, starts[3], starts[4], starts[5], 1 << 20):
+        records = warc.read_warc(manifest, split=split)
+        assert sorted(r.page_id for r in records.collect()) == [0, 1, 2, 3, 5, 6, 8, 9]
+        assert warc.skipped_bytes(manifest, records).first().skipped == len(bad) + len(lost)
+
+
+def test_ranges_are_not_read_by_one_task(spark):
+    rows = [(i, "u", f"page {i} " * 100) for i in range(300)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    records = warc.read_warc(manifest, split=100)
+    assert records.rdd.getNumPartitions() > 100 and records.count() == 300
+    shards = token_records.write_token_records(spark.createDataFrame([(i, "a few words") for i in range(300)], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = token_records.read_token_records(shards, per_task=2)
+    assert ids.rdd.getNumPartitions() > 100 and ids.count() == 300
+
+
 def test_chat_templates():
     run = chat.compiled("{# c #}{% for m in messages %}{% if loop.first and m.role != 'x' %}<{{ 'a' + 'b' | upper }}>{% endif %}{% generation %}{{ m.text | trim }}{% endgeneration %}{% endfor %}!")
     assert list(run([{"role": "u", "text": " hi "}, {"role": "u", "text": "yo"}])) == [("<aB>", False), ("hi", True), ("yo", True), ("!", False)]
