@@ -62,7 +62,7 @@ def test_json_lines_source_skips_bad_lines(spark, tmp_path):
 
 def test_polled_source(spark, tmp_path):
     records = json.dumps([[str(i), "t", "{}"] for i in range(5)])
-    df = readers.polled(spark, "weftgraph.sources.readers:scripted", records=records)
+    df = readers.polled(spark, "weftgraph.sources.readers:Scripted", records=records, shards="2")
     q = df.writeStream.format("memory").queryName("polled").outputMode("append").start()
     q.processAllAvailable()
     q.stop()

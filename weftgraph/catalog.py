@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class AnyOf(tuple):
+    """Labels of which a node needs one; a plain tuple of labels asks for all."""
+
+
 @dataclass(frozen=True)
 class VertexTable:
     """`df` has the column `id` and the label's properties. `extra`: an optional column of further
@@ -21,17 +25,27 @@ class VertexTable:
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("id", self.extra)]
 
+    def unmet(self, labels: tuple[str, ...]) -> tuple[str, ...]:
+        """Of `labels` those that the table's own label doesn't settle."""
+        if isinstance(labels, AnyOf):
+            return () if self.label in labels else labels
+        return tuple(x for x in labels if x != self.label)
+
 
 @dataclass(frozen=True)
 class EdgeTable:
     """`df` has `src`, `dst` and the relationship's properties. `key`: columns that tell parallel
-    relationships apart, beside src and dst."""
+    relationships apart, beside src and dst. `node_side`: the end whose nodes' own table this is, one row
+    a node; `whole` is then `df` with that node's properties as `node_<name>`, so that a hop to it reads
+    one table only."""
 
     rel_type: str
     src_label: str
     dst_label: str
     df: DataFrame
     key: tuple[str, ...] = ()
+    node_side: str | None = None
+    whole: DataFrame | None = None
 
     @property
     def properties(self) -> list[str]:
@@ -45,21 +59,29 @@ class Graph:
     edges: tuple[EdgeTable, ...] = ()
 
     def with_vertices(self, label: str, df: DataFrame, extra: str | None = None) -> Graph:
-        return replace(self, vertices={**self.vertices, label: VertexTable(label, df, extra)})
+        # a label's new table isn't the one that relationships were taken from
+        edges = tuple(replace(e, node_side=None, whole=None) if e.node_side and label == (e.src_label if e.node_side == "src" else e.dst_label) else e for e in self.edges)
+        return replace(self, vertices={**self.vertices, label: VertexTable(label, df, extra)}, edges=edges)
 
     def with_edges(self, rel_type: str, src_label: str, dst_label: str, df: DataFrame, key: tuple[str, ...] = ()) -> Graph:
         kept = tuple(e for e in self.edges if (e.rel_type, e.src_label, e.dst_label) != (rel_type, src_label, dst_label))
         return replace(self, edges=(*kept, EdgeTable(rel_type, src_label, dst_label, df, key)))
 
+    def with_foreign_key(self, rel_type: str, src_label: str, dst_label: str, side: str, other: str, *props: str) -> Graph:
+        """A relationship that the nodes of one end (`side`: src or dst) hold in their column `other`, with
+        `props` of them as its properties."""
+        table = self.vertices[src_label if side == "src" else dst_label]
+        ends = {side: F.col("id"), "dst" if side == "src" else "src": F.col(other)}
+        rows = table.df.where(F.col(other).isNotNull())
+        cols = [ends["src"].alias("src"), ends["dst"].alias("dst"), *props]
+        made = EdgeTable(rel_type, src_label, dst_label, rows.select(*cols), (), side, rows.select(*cols, *[F.col(c).alias(f"node_{c}") for c in table.properties]))
+        return replace(self, edges=(*self.edges, made))
+
     # scans
-    def labelled(self, labels: tuple[str, ...]) -> list[tuple[VertexTable, list[str]]]:
-        """Tables that may hold nodes with all `labels`, each with the labels to look up in `extra`."""
-        out = []
-        for t in self.vertices.values():
-            rest = [x for x in labels if x != t.label]
-            if not rest or t.extra:
-                out.append((t, rest))
-        return out
+    def labelled(self, labels: tuple[str, ...]) -> list[tuple[VertexTable, tuple[str, ...]]]:
+        """Tables that may hold nodes with all `labels` (one of them, if AnyOf), each with the labels to look up
+        in `extra`."""
+        return [(t, t.unmet(labels)) for t in self.vertices.values() if t.extra or not t.unmet(labels)]
 
     def nodes(self) -> DataFrame:
         """All nodes: id (string), labels, props (map of strings)."""
@@ -127,13 +149,13 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g = g.with_vertices("User", events.select(F.col("user_id").alias("id")).distinct())
     pair = lambda df, a, b, *props: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), *props)
     line = [F.col(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate", "suppkey", "linenumber") if f"l_{c}" in lineitem.columns]
-    g = g.with_edges("IN_REGION", "Nation", "Region", pair(t("nation"), "n_nationkey", "n_regionkey"))
-    g = g.with_edges("IN_NATION", "Customer", "Nation", pair(customer, "c_custkey", "c_nationkey"))
-    g = g.with_edges("IN_NATION", "Supplier", "Nation", pair(t("supplier"), "s_suppkey", "s_nationkey"))
-    g = g.with_edges("PLACED", "Customer", "Order", pair(orders, "o_custkey", "o_orderkey", F.col("o_orderdate").alias("orderdate")))
+    g = g.with_foreign_key("IN_REGION", "Nation", "Region", "src", "regionkey")
+    g = g.with_foreign_key("IN_NATION", "Customer", "Nation", "src", "nationkey")
+    g = g.with_foreign_key("IN_NATION", "Supplier", "Nation", "src", "nationkey")
+    g = g.with_foreign_key("PLACED", "Customer", "Order", "dst", "custkey", "orderdate")
     g = g.with_edges("CONTAINS", "Order", "Part", pair(lineitem, "l_orderkey", "l_partkey", *line), ("linenumber", "extendedprice"))
     g = g.with_edges("SUPPLIED_BY", "Order", "Supplier", pair(lineitem, "l_orderkey", "l_suppkey", F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("shipdate")), ("quantity", "shipdate"))
-    g = g.with_edges("DID", "User", "Event", pair(events, "user_id", "event_id"))
+    g = g.with_foreign_key("DID", "User", "Event", "dst", "user_id")
     following = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     near = customer.select(F.col("c_custkey").alias("src"), following.alias("dst")).where("dst is not null")
     return g.with_edges("KNOWS", "Customer", "Customer", near)

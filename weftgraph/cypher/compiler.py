@@ -9,14 +9,14 @@ that the query doesn't name are never selected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import EdgeTable, Graph
+from ..catalog import AnyOf, EdgeTable, Graph
 from ..functions import scalar
 from ..plans.paths import var_length
 from . import syntax as S
@@ -53,6 +53,7 @@ class Compiler:
     def __init__(self, graph: Graph, params: dict[str, Any] | None = None):
         self.graph, self.params, self.fresh, self.lambdas = graph, params or {}, 0, 0
         self.used: dict[str, set[str]] = {}
+        self.whole_edges = False  # writes need the ends' labels of a relationship as well
 
     # --- which properties are read ---------------------------------------------------------------
 
@@ -62,7 +63,8 @@ class Compiler:
         elif isinstance(e, S.Var):
             self.used.setdefault(e.name, set()).add("*")
         elif isinstance(e, S.Call) and e.name in ("id", "type", "labels", "count") and len(e.args) == 1 and isinstance(e.args[0], S.Var):
-            return
+            if e.name == "labels":
+                self.used.setdefault(e.args[0].name, set()).add("*labels")
         else:
             for c in S.children(e):
                 self._note(c)
@@ -160,9 +162,9 @@ class Compiler:
             want = self._wanted(var, t.properties, p.props)
             df = t.df
             if rest:
-                df = df.where(_all([F.array_contains(t.extra, x) for x in rest]))
+                df = df.where(F.arrays_overlap(t.extra, F.array(*map(F.lit, rest))) if isinstance(rest, AnyOf) else _all([F.array_contains(t.extra, x) for x in rest]))
             ident = F.col("id") if len(kinds) == 1 else F.col("id").cast("string")
-            lab = [F.lit(t.label).alias(f"__{var}__lab")] + ([F.col(t.extra).alias(f"__{var}__extra")] if t.extra and self._star(var) else [])
+            lab = [F.lit(t.label).alias(f"__{var}__lab")] + ([F.col(t.extra).alias(f"__{var}__extra")] if t.extra and self._labels(var) else [])
             parts.append(df.select(ident.alias(f"__{var}__id"), *lab, *[F.col(c).alias(f"__{var}__p_{c}") for c in want]))
             props += [c for c in want if c not in props]
         df = parts[0]
@@ -173,6 +175,10 @@ class Compiler:
     def _star(self, var: str) -> bool:
         return "*" in self.used.get(var, set()) | self.used.get("*", set())
 
+    def _labels(self, var: str) -> bool:
+        """Whether the further labels of `var` are read."""
+        return self._star(var) or "*labels" in self.used.get(var, set())
+
     def inline(self, props: tuple, var: str, scope: Scope) -> Scope:
         if props:
             scope.df = scope.df.where(_all([self.expr(S.Prop(S.Var(var), k), scope) == self.expr(v, scope) for k, v in props]))
@@ -195,11 +201,11 @@ class Compiler:
     def path(self, p: S.Path, scope: Scope, hops: list) -> Scope:
         names = [self._name(n.var) for n in p.nodes]
         known = [i for i, n in enumerate(names) if n in scope.vars]
-        at = known[0] if known else 0
+        at = known[0] if known else self.first(p)
         if not known:
-            df, bound = self.scan(p.nodes[0], names[0])
-            scope = Scope(df if scope.df is None else scope.df.crossJoin(df), {**scope.vars, names[0]: bound})
-            scope = self.inline(p.nodes[0].props, names[0], scope)
+            df, bound = self.scan(p.nodes[at], names[at])
+            scope = Scope(df if scope.df is None else scope.df.crossJoin(df), {**scope.vars, names[at]: bound})
+            scope = self.inline(p.nodes[at].props, names[at], scope)
         else:
             scope = self.constrain(p.nodes[at], names[at], scope)
         edge_names = [self._name(e.var) for e in p.edges]
@@ -213,6 +219,15 @@ class Compiler:
             scope = Scope(scope.df.withColumn(f"__{p.var}", F.struct(nodes.alias("nodes"), rels.alias("relationships"))), {**scope.vars, p.var: Bound("value")})
         return scope
 
+    def first(self, p: S.Path) -> int:
+        """The node to begin with: the second if the first one's own table holds the relationship, which then
+        reads that table once."""
+        if not p.edges or p.edges[0].length is not None or p.edges[0].direction == "both":
+            return 0
+        e, (a, b) = p.edges[0], ([t.label for t, _ in self.graph.labelled(n.labels)] for n in p.nodes[:2])
+        ways = [t for t in (self.edge_tables(e.types, a, b) if e.direction == "out" else self.edge_tables(e.types, b, a))]
+        return int(len(ways) == 1 and ways[0].node_side == ("src" if e.direction == "out" else "dst"))
+
     def constrain(self, p: S.NodeP, var: str, scope: Scope) -> Scope:
         if scope.vars[var].kind != "node":
             raise CypherError(f"{var} isn't a node")
@@ -239,11 +254,13 @@ class Compiler:
         if e.length is not None:
             return self.long_hop(scope, a, e, p, b, ways, ident, label)
         parts, props = [], []
+        own = self.same_scan(ways, p, b, scope)
         for t, x, y in ways:
             want = self._wanted(r, t.properties, e.props)
-            df = t.df.where(F.col("src") != F.col("dst")) if direction == "both" and x == "dst" and t.src_label == t.dst_label else t.df
+            df = t.whole if own else t.df
+            df = df.where(F.col("src") != F.col("dst")) if direction == "both" and x == "dst" and t.src_label == t.dst_label else df
             key = [F.struct(F.lit(t.rel_type).alias("t"), F.concat_ws(":", F.lit(t.src_label), F.lit(t.dst_label), *[F.col(c).cast("string") for c in ("src", "dst", *t.key)]).alias("k")).alias(f"__{r}__k")] if unique else []
-            parts.append(df.select(ident(x).alias("__near"), F.lit(label[x](t)).alias("__nearlab"), ident(y).alias("__far"), F.lit(label[y](t)).alias("__farlab"), F.lit(t.rel_type).alias(f"__{r}__type"), ident("src").alias(f"__{r}__src"), ident("dst").alias(f"__{r}__dst"), *key, *[F.col(c).alias(f"__{r}__p_{c}") for c in want]))
+            parts.append(df.select(ident(x).alias("__near"), F.lit(label[x](t)).alias("__nearlab"), ident(y).alias("__far"), F.lit(label[y](t)).alias("__farlab"), F.lit(t.rel_type).alias(f"__{r}__type"), ident("src").alias(f"__{r}__src"), ident("dst").alias(f"__{r}__dst"), *key, *([F.lit(t.src_label).alias(f"__{r}__srclab"), F.lit(t.dst_label).alias(f"__{r}__dstlab")] if self.whole_edges else []), *[F.col(c).alias(f"__{r}__p_{c}") for c in want], *[F.col(f"node_{c}").alias(f"__{b}__p_{c}") for c in own]))
             props += [c for c in want if c not in props]
         edges = parts[0]
         for x in parts[1:]:
@@ -253,9 +270,20 @@ class Compiler:
         on = [F.col(f"__{a}__id") == F.col("__near")]
         if len(near) > 1 or len({label[x](t) for t, x, _ in ways}) > 1:
             on.append(F.col(f"__{a}__lab") == F.col("__nearlab"))
-        return self.arrive(scope, edges, on, p, b, ways, label, {r: Bound("edge", tuple(dict.fromkeys(t.rel_type for t, _, _ in ways)), tuple(props))}, e.props, r)
-
-    def arrive(self, scope: Scope, edges: DataFrame, on: list, p: S.NodeP, b: str, ways: list, label: dict, more: dict, edge_props: tuple, r: str | None) -> Scope:
+        return self.arrive(scope, edges, on, p, b, ways, label, {r: Bound("edge", tuple(dict.fromkeys(t.rel_type for t, _, _ in ways)), tuple(props))}, e.props, r, own)
+
+    def same_scan(self, ways: list, p: S.NodeP, b: str, scope: Scope) -> list[str]:
+        """Properties of the new node `b` that the relationship's own table holds, if it is the node's table."""
+        if b in scope.vars or len(ways) != 1 or ways[0][0].node_side != ways[0][2]:
+            return []
+        t, _, y = ways[0]
+        label = t.src_label if y == "src" else t.dst_label
+        table = self.graph.vertices[label]
+        if table.extra or table.unmet(p.labels):
+            return []
+        return self._wanted(b, table.properties, p.props)
+
+    def arrive(self, scope: Scope, edges: DataFrame, on: list, p: S.NodeP, b: str, ways: list, label: dict, more: dict, edge_props: tuple, r: str | None, own: list[str] | tuple = ()) -> Scope:
         labels = tuple(dict.fromkeys(label[y](t) for t, _, y in ways))
         if b in scope.vars:
             on = [*on, F.col(f"__{b}__id") == F.col("__far")]
@@ -265,14 +293,14 @@ class Compiler:
             out = self.constrain(p, b, out)
         else:
             df = scope.df.join(edges, _all(on)).drop("__near", "__nearlab").withColumnRenamed("__far", f"__{b}__id").withColumnRenamed("__farlab", f"__{b}__lab")
-            bound = Bound("node", labels)
+            bound = Bound("node", labels, tuple(own))
             tables = [t for t, _ in self.graph.labelled(p.labels) if t.label in labels]
-            extra = any(x != t.label for t in tables for x in p.labels)
-            if extra or any(self._wanted(b, t.properties, p.props) for t in tables) or self._star(b):
-                own, full = self.scan(S.NodeP(p.var, p.labels, p.props), b)
-                own = own.withColumnRenamed(f"__{b}__id", "__id").withColumnRenamed(f"__{b}__lab", "__lab")
+            extra = any(t.unmet(p.labels) for t in tables)
+            if not own and (extra or any(self._wanted(b, t.properties, p.props) for t in tables) or self._star(b) or self._labels(b) and any(t.extra for t in tables)):
+                nodes, full = self.scan(S.NodeP(p.var, p.labels, p.props), b)
+                nodes = nodes.withColumnRenamed(f"__{b}__id", "__id").withColumnRenamed(f"__{b}__lab", "__lab")
                 match = F.col(f"__{b}__id") == F.col("__id").cast(dict(df.dtypes)[f"__{b}__id"])
-                df = df.join(own, match & (F.col(f"__{b}__lab") == F.col("__lab")) if len(full.labels) > 1 or len(labels) > 1 else match).drop("__id", "__lab")
+                df = df.join(nodes, match & (F.col(f"__{b}__lab") == F.col("__lab")) if len(full.labels) > 1 or len(labels) > 1 else match).drop("__id", "__lab")
                 bound = Bound("node", labels, full.props)
             out = self.inline(p.props, b, Scope(df, {**scope.vars, **more, b: bound}))
         return self.inline(edge_props, r, out) if r else out
@@ -282,7 +310,8 @@ class Compiler:
             raise CypherError("a variable-length relationship has neither a name nor properties here")
         # the inner nodes may have any label, so the tables are those of the types, whatever they join
         inner = self.edge_tables(e.types, None, None)
-        node = lambda c, lab: F.struct(F.lit(lab).alias("l"), F.col(c).cast("string").alias("i"))
+        one = len({x for t in inner for x in (t.src_label, t.dst_label)} | set(scope.vars[a].labels)) == 1  # ids as they are
+        node = lambda c, lab: ident(c) if one else F.struct(F.lit(lab).alias("l"), F.col(c).cast("string").alias("i"))
         parts = []
         for t in inner:
             if any(x == "src" for _, x, _ in ways):
@@ -290,10 +319,15 @@ class Compiler:
             if any(x == "dst" for _, x, _ in ways):
                 parts.append(t.df.select(node("dst", t.dst_label).alias("u"), node("src", t.src_label).alias("v")))
         edges = reduce(DataFrame.union, parts)
-        starts = scope.df.select(F.struct(F.col(f"__{a}__lab").alias("l"), F.col(f"__{a}__id").cast("string").alias("i")).alias("start")).distinct()
+        start = F.col(f"__{a}__id") if one else F.struct(F.col(f"__{a}__lab").alias("l"), F.col(f"__{a}__id").cast("string").alias("i"))
+        starts = scope.df.select(start.alias("start")).distinct()
         reached = var_length(edges, starts, *e.length)
         kind = dict(scope.df.dtypes)[f"__{a}__id"]
         ends = tuple(dict.fromkeys([label[y](t) for t, _, y in ways] + ([*scope.vars[a].labels] if e.length[0] == 0 else [])))
+        if one:
+            lab = F.lit(scope.vars[a].labels[0])
+            reached = reached.select(F.col("start").alias("__near"), lab.alias("__nearlab"), F.col("node").alias("__far"), lab.alias("__farlab"))
+            return self.arrive(scope, reached, [F.col(f"__{a}__id") == F.col("__near")], p, b, ways, label, {}, (), None)
         reached = reached.where(F.col("node.l").isin(*ends)).select(F.col("start.i").cast(kind).alias("__near"), F.col("start.l").alias("__nearlab"), F.col("node.i").cast(kind).alias("__far"), F.col("node.l").alias("__farlab"))
         on = [F.col(f"__{a}__id") == F.col("__near"), F.col(f"__{a}__lab") == F.col("__nearlab")]
         return self.arrive(scope, reached, on, p, b, ways, label, {}, (), None)
@@ -304,7 +338,9 @@ class Compiler:
             if isinstance(c, S.Exists) or negated:
                 scope = self.semi(scope, c.arg if negated else c, "left_anti" if negated else "left_semi")
             else:
-                scope = Scope(scope.df.where(self.expr(c, scope)), scope.vars)
+                known = scope.vars
+                c, scope = self.lifted(c, scope)
+                scope = Scope(scope.df.where(self.expr(c, scope)).drop(*[f"__{v}" for v in scope.vars if v not in known]), known)
         return scope
 
     def inner(self, parts: tuple, where: Any, scope: Scope) -> tuple[DataFrame, list[Column], Scope, Any]:
@@ -336,6 +372,39 @@ class Compiler:
         on += [self.expr(c, both) for c in rest]
         return Scope(scope.df.join(df, _all(on or [F.lit(True)]), how), scope.vars)
 
+    def lifted(self, e: Any, scope: Scope) -> tuple[Any, Scope]:
+        """`e` with each EXISTS { } inside it replaced by a truth value that the rows of the scope get for it."""
+        if isinstance(e, S.Exists):
+            self.fresh += 1
+            name = f"exists{self.fresh}"
+            return S.Var(name), Scope(self.flagged(e, name, scope), {**scope.vars, name: Bound("value")})
+        if isinstance(e, (tuple, list)):
+            out = []
+            for x in e:
+                x, scope = self.lifted(x, scope)
+                out.append(x)
+            return type(e)(out), scope
+        if not is_dataclass(e):
+            return e, scope
+        changed = {}
+        for f in fields(e):
+            changed[f.name], scope = self.lifted(getattr(e, f.name), scope)
+        return replace(e, **changed), scope
+
+    def flagged(self, e: S.Exists, name: str, scope: Scope) -> DataFrame:
+        """The scope's rows with `__name`: whether the pattern exists for their values. The values are taken once
+        each, met with the pattern by a semi-join, and joined back."""
+        df, on, own, rest = self.inner(e.parts, e.where, scope)
+        on = on + [self.expr(c, Scope(None, {**own.vars, **scope.vars})) for c in rest]
+        read = [v for v in scope.vars if v in own.vars or any(self._reads(c, [v]) for c in rest)]
+        cols = [c for v in read for c in scope.df.columns if c == f"__{v}" or c.startswith(f"__{v}__") and (v not in own.vars or c.endswith(("__id", "__lab")) or any(self._reads(x, [v]) for x in rest))]
+        if not cols:
+            return scope.df.join(df.limit(1).select(F.lit(True).alias("__hit")), F.lit(True), "left").withColumn(f"__{name}", F.coalesce("__hit", F.lit(False))).drop("__hit")
+        hit = scope.df.select(*cols).distinct().join(df, _all(on or [F.lit(True)]), "left_semi")
+        hit = hit.select(*[F.col(f"`{c}`").alias(f"__hit{i}") for i, c in enumerate(cols)], F.lit(True).alias("__hit"))
+        out = scope.df.join(hit, _all([F.col(f"`{c}`").eqNullSafe(F.col(f"__hit{i}")) for i, c in enumerate(cols)]), "left")
+        return out.withColumn(f"__{name}", F.coalesce("__hit", F.lit(False))).drop("__hit", *[f"__hit{i}" for i in range(len(cols))])
+
     def optional(self, c: S.Match, scope: Scope) -> Scope:
         if scope.df is None:
             scope = Scope(self._rows(scope), {})
@@ -375,10 +444,10 @@ class Compiler:
 
     def project(self, c: S.Project, scope: Scope) -> Scope:
         df = self._rows(scope)
-        scope = Scope(df, scope.vars)
-        items = list(c.items)
+        named = scope.vars
+        items, scope = self.lifted(list(c.items), Scope(df, scope.vars))
         if c.star:
-            items = [S.Item(S.Var(v), v) for v in scope.vars if not v.startswith("anon")] + items
+            items = [S.Item(S.Var(v), v) for v in named if not v.startswith("anon")] + items
         if any(S.has_aggregate(i.expr) for i in items):
             out = self.aggregated(items, scope, c)
         else:
@@ -568,7 +637,7 @@ class Compiler:
             self.lambdas -= 1
             return out
         if isinstance(e, S.Exists):
-            raise CypherError("EXISTS { } stands alone or under NOT among the terms of a WHERE")
+            raise CypherError("EXISTS { } can't stand inside a list comprehension or an aggregate")
         return self.call(e, scope, sub)
 
     def binary(self, e: S.Bin, scope: Scope, sub) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import EdgeTable, Graph
@@ -21,11 +21,18 @@ from .syntax import CypherError
 COUNTERS = ("nodes_created", "nodes_deleted", "relationships_created", "relationships_deleted", "properties_set", "properties_removed", "labels_added", "labels_removed")
 
 
-def generated_id(kind: str, table: DataFrame | None) -> Column:
-    """A new id of a table's id type: random where there is room for it, the next number in an int."""
+def generated_id(kind: str, table: DataFrame | None, rows: DataFrame) -> Column:
+    """A new id of a table's id type for each of `rows` (checkpointed): random where there is room for it,
+    the next numbers in an int, dealt by partition without bringing the rows together."""
     if kind in ("int", "smallint", "tinyint"):
         last = table.agg(F.max("id")).first()[0] or 0
-        return (F.row_number().over(Window.orderBy(F.lit(1))) + last).cast(kind)
+        sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()  # a row per partition
+        starts, at = [], last + 1
+        for r in sizes:
+            starts += [F.lit(r.p), F.lit(at)]
+            at += r["count"]
+        within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        return (F.element_at(F.create_map(*starts), F.spark_partition_id()) + within).cast(kind) if starts else F.lit(None).cast(kind)
     return F.uuid() if kind == "string" else F.shiftrightunsigned(F.xxhash64(F.uuid()), 1).cast(kind)
 
 
@@ -53,9 +60,9 @@ class Writer:
             elif isinstance(c, S.Merge):
                 scope = self.merge(c, scope)
             elif isinstance(c, S.SetItems):
-                self.assign(c.items, scope)
+                scope = self.assign(c.items, scope)
             elif isinstance(c, S.RemoveItems):
-                self.remove(c.items, scope)
+                scope = self.remove(c.items, scope)
             elif isinstance(c, S.Delete):
                 self.delete(c, scope)
         return self.graph, self.stats, result
@@ -63,6 +70,7 @@ class Writer:
     def compiler(self, q: S.Query | None = None) -> Compiler:
         comp = Compiler(self.graph, self.params)
         comp.used["*"] = {"*"}
+        comp.whole_edges = True
         return comp
 
     def _scope_df(self, scope: Scope) -> DataFrame:
@@ -86,10 +94,11 @@ class Writer:
         table = self.graph.vertices.get(label)
         kind = table.df.schema["id"].dataType.simpleString() if table else "string"
         comp, df = self.compiler(), self._scope_df(scope)
+        df = cut(df)
         props = {k: comp.expr(e, Scope(df, scope.vars)) for k, e in n.props}
         given = props.pop("__qid", None)
         given = props.pop("id", None) if given is None else given
-        ident = given.cast(kind) if given is not None else generated_id(kind, table.df if table else None)
+        ident = given.cast(kind) if given is not None else generated_id(kind, table.df if table else None, df)
         df = cut(df.select("*", ident.alias(f"__{v}__id"), F.lit(label).alias(f"__{v}__lab"), *[x.alias(f"__{v}__p_{k}") for k, x in props.items()]))
         rows = df.select(F.col(f"__{v}__id").alias("id"), *[F.col(f"__{v}__p_{k}").alias(k) for k in props], *([F.array(*map(F.lit, n.labels[1:])).alias("_labels")] if len(n.labels) > 1 else []))
         extra = table.extra if table else None
@@ -143,9 +152,49 @@ class Writer:
         again = self.compiler().run([S.Match([S.Path(None, (S.NodeP(v, n.labels, n.props),), ())])], Scope(df, dict(scope.vars)))
         return Scope(cut(again.df), again.vars)
 
+    def _met(self, t: EdgeTable, v: str, scope: Scope) -> DataFrame:
+        """The rows that stand for relationships of `t`, its columns named __old_*. A relationship is told by
+        its ends and all its properties: parallel ones that differ in any are others."""
+        own = scope.df.where((F.col(f"__{v}__type") == t.rel_type) & (F.col(f"__{v}__srclab") == t.src_label) & (F.col(f"__{v}__dstlab") == t.dst_label))
+        kinds = dict(t.df.dtypes)
+        old = [F.col(f"__{v}__{c}" if c in ("src", "dst") else f"__{v}__p_{c}").cast(kinds[c]).alias(f"__old_{c}") for c in t.df.columns]
+        return own.select("*", *old)
+
+    def _tables_of(self, v: str, scope: Scope) -> list[EdgeTable]:
+        return [t for t in self.graph.edges if t.rel_type in scope.vars[v].labels]
+
+    def _update_edges(self, v: str, values: dict[str, Column], scope: Scope, only: EdgeTable | None = None) -> int:
+        changed = 0
+        for t in self._tables_of(v, scope) if only is None else [only]:
+            names = [f"__old_{c}" for c in t.df.columns]
+            new = cut(self._met(t, v, scope).select(*names, *[x.alias(f"__new_{k}") for k, x in values.items()]).dropDuplicates(names).withColumn("__hit", F.lit(True)))
+            n = new.count()
+            changed += n
+            if not n:
+                continue
+            on = [t.df[c].eqNullSafe(new[f"__old_{c}"]) for c in t.df.columns]
+            df = t.df.join(new, on, "left").drop(*names)
+            for k in values:
+                df = df.withColumn(k, F.when(F.col("__hit"), F.col(f"__new_{k}")).otherwise(F.col(k)) if k in t.df.columns else F.col(f"__new_{k}"))
+            self._replace_edges(t, df.drop("__hit", *[f"__new_{k}" for k in values]))
+        return changed
+
+    def _replace_edges(self, t: EdgeTable, df: DataFrame) -> None:
+        same = (t.rel_type, t.src_label, t.dst_label)
+        self.graph = replace(self.graph, edges=tuple(replace(x, df=df, node_side=None, whole=None) if (x.rel_type, x.src_label, x.dst_label) == same else x for x in self.graph.edges))
+
+    @staticmethod
+    def _seen(v: str, values: dict[str, Column], scope: Scope) -> Scope:
+        """The scope after a change of v's properties: later clauses read the new values."""
+        b = scope.vars[v]
+        df = scope.df.withColumns({f"__{v}__p_{k}": x for k, x in values.items()})
+        return Scope(df, {**scope.vars, v: replace(b, props=tuple(dict.fromkeys([*b.props, *values])))})
+
     def _update(self, v: str, values: dict[str, Column], scope: Scope) -> int:
-        """Writes value columns to all nodes that `v` stands for; a node met several times takes one of
-        its rows."""
+        """Writes value columns to all nodes or relationships that `v` stands for; one that is met several
+        times takes one of its rows."""
+        if scope.vars[v].kind == "edge":
+            return self._update_edges(v, values, scope)
         changed = 0
         for label in scope.vars[v].labels:
             table = self.graph.vertices[label]
@@ -161,7 +210,7 @@ class Writer:
             self.graph = self.graph.with_vertices(label, df.drop("__hit", *[f"__new_{k}" for k in values]), table.extra)
         return changed
 
-    def assign(self, items: list, scope: Scope) -> None:
+    def assign(self, items: list, scope: Scope) -> Scope:
         by_var: dict[str, dict[str, Column]] = {}
         comp = self.compiler()
         for i in items:
@@ -174,19 +223,29 @@ class Writer:
                     raise CypherError("SET n += takes a map")
                 for k, e in i[2].items:
                     by_var.setdefault(i[1], {})[k] = comp.expr(e, scope)
-        for v, values in by_var.items():
+        for v, values in by_var.items():  # all from the values before
             self.stats["properties_set"] += self._update(v, values, scope) * len(values)
+        for v, values in by_var.items():
+            scope = self._seen(v, values, scope)
+        return Scope(cut(scope.df), scope.vars) if by_var else scope
 
-    def remove(self, items: list, scope: Scope) -> None:
+    def remove(self, items: list, scope: Scope) -> Scope:
         for i in items:
             if i[0] == "label":
                 self.labels(i[1], i[2], scope, add=False)
                 continue
-            for label in scope.vars[i[1]].labels:
+            if scope.vars[i[1]].kind == "edge":
+                for t in self._tables_of(i[1], scope):
+                    if i[2] in t.properties:
+                        self.stats["properties_removed"] += self._update_edges(i[1], {i[2]: F.lit(None).cast(t.df.schema[i[2]].dataType)}, scope, t)
+            for label in scope.vars[i[1]].labels if scope.vars[i[1]].kind == "node" else ():
                 fields = {f.name: f.dataType for f in self.graph.vertices[label].df.schema}
                 if i[2] in fields:
                     own = Scope(scope.df.where(F.col(f"__{i[1]}__lab") == label), {i[1]: Bound("node", (label,))})
                     self.stats["properties_removed"] += self._update(i[1], {i[2]: F.lit(None).cast(fields[i[2]])}, own)
+            if i[2] in scope.vars[i[1]].props:
+                scope = self._seen(i[1], {i[2]: F.lit(None).cast(scope.df.schema[f"__{i[1]}__p_{i[2]}"].dataType)}, scope)
+        return scope
 
     def labels(self, v: str, name: str, scope: Scope, add: bool) -> None:
         for label in scope.vars[v].labels:
@@ -206,10 +265,9 @@ class Writer:
     def delete(self, c: S.Delete, scope: Scope) -> None:
         for v in c.names:
             if scope.vars[v].kind == "edge":
-                for t in self.graph.edges:
-                    if t.rel_type in scope.vars[v].labels:
-                        gone = scope.df.where(F.col(f"__{v}__type") == t.rel_type).select(F.col(f"__{v}__src").alias("src"), F.col(f"__{v}__dst").alias("dst")).distinct()
-                        self._drop_edges(t, t.df.join(gone, ["src", "dst"], "left_anti"))
+                for t in self._tables_of(v, scope):
+                    gone = self._met(t, v, scope).select(*[f"__old_{c}" for c in t.df.columns]).distinct()
+                    self._drop_edges(t, t.df.join(gone, [t.df[c].eqNullSafe(gone[f"__old_{c}"]) for c in t.df.columns], "left_anti"))
                 continue
             for label in scope.vars[v].labels:
                 ids = cut(scope.df.where(F.col(f"__{v}__lab") == label).select(F.col(f"__{v}__id").alias("id")).distinct())
@@ -230,7 +288,7 @@ class Writer:
     def _drop_edges(self, t: EdgeTable, kept: DataFrame) -> None:
         kept = cut(kept)
         self.stats["relationships_deleted"] += t.df.count() - kept.count()
-        self.graph = replace(self.graph, edges=tuple(replace(x, df=kept) if (x.rel_type, x.src_label, x.dst_label) == (t.rel_type, t.src_label, t.dst_label) else x for x in self.graph.edges))
+        self._replace_edges(t, kept)
 
 
 def execute_write(graph: Graph, text: str, params: dict[str, Any] | None = None) -> tuple[Graph, dict[str, int], DataFrame | None]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -39,6 +41,34 @@ def timestamp_parse(x: Column) -> Column:
     return F.coalesce(F.timestamp_micros((n * 1_000_000).cast("long")), F.try_to_timestamp(x.cast("string")))
 
 
+def validate_email(s: Column) -> Column:
+    """One @ with letters, digits and . _ % + - before it; after it letters, digits, . and -, ending in a dot
+    that something precedes and at least two letters follow."""
+    letters, digits = string.ascii_letters, string.digits
+    only = lambda x, allowed: (F.length(x) > 0) & (F.length(F.translate(x, allowed, "")) == 0)
+    parts = F.split(s, "@", -1)
+    local, domain = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    top = F.substring_index(domain, ".", -1)
+    held = (F.size(parts) == 2) & only(local, letters + digits + "._%+-") & only(domain, letters + digits + ".-") & only(top, letters)
+    return F.coalesce(held & (F.length(top) >= 2) & (F.length(domain) > F.length(top) + 1), F.lit(False))
+
+
+#: Fixed value.
+KM_PER_MILE = 1.60934
+
+
+def _number(x: Column) -> Column:
+    return F.coalesce(x.cast("double"), F.lit(0.0))
+
+
+def _scaled(x: Column, unit: Column, ways: dict[str, Callable[[Column], Column]]) -> Column:
+    """`x` by the way that `unit` names; as it is for any other name."""
+    out = x
+    for name, way in ways.items():
+        out = F.when(unit == name, way(x)).otherwise(out)
+    return out
+
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "parse_temp": parse_temp,
     "parse_geo": parse_geo,
@@ -47,14 +77,15 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "regex_extract": regex_extract,
     "base64_decode": lambda s: F.decode(F.try_to_binary(s, F.lit("base64")), "UTF-8"),
     "timestamp_parse": timestamp_parse,
-    "validate_email": lambda s: F.coalesce(s.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), F.lit(False)),
+    "validate_email": validate_email,
     "to_uppercase": F.upper,
     "to_lowercase": F.lower,
-    "speed_convert": lambda speed, unit: F.when(unit == "mph", speed * 1.60934).when(unit == "ms", speed * 3.6).otherwise(speed),
-    "temp_convert": lambda temp, to: F.when(to == "f", temp * 9 / 5 + 32).when(to == "c", (temp - 32) * 5 / 9).otherwise(temp),
-    "to_upper": F.upper,
-    "length": F.octet_length,
-    "not": lambda b: ~b,
+    # a missing number is 0, a missing text empty, a missing truth value false
+    "speed_convert": lambda speed, unit: _scaled(_number(speed), unit, {"mph_to_kmh": lambda x: x * KM_PER_MILE, "kmh_to_mph": lambda x: x / KM_PER_MILE}),
+    "temp_convert": lambda temp, to: _scaled(_number(temp), F.coalesce(to, F.lit("f")), {"f": lambda x: x * 9 / 5 + 32, "c": lambda x: (x - 32) * 5 / 9}),
+    "to_upper": lambda s: F.upper(F.coalesce(s, F.lit(""))),
+    "length": lambda s: F.coalesce(F.octet_length(s), F.lit(0)),
+    "not": lambda b: ~F.coalesce(b, F.lit(False)),
 }
 
 # --- rules -------------------------------------------------------------------------------------
@@ -118,15 +149,64 @@ class Pipeline:
         return (good.withColumns(self.enrich) if self.enrich else good), bad
 
 
-def rendered_statement(template: str) -> Column:
-    """`{field}` of a row filled in, as JSON for strings: output statements of a pipeline."""
-    parts, at = [], 0
-    for m in re.finditer(r"\{(\w+)\}", template):
-        parts += [F.lit(template[at : m.start()]), F.coalesce(F.col(m[1]).cast("string"), F.lit("null"))]
+def rendered_statement(df: DataFrame, template: str) -> Column:
+    """An output statement for each row: `{field}` (or `'{field}'`) becomes the field's literal. Texts are
+    quoted with \\ and ' escaped, so a value can't end its literal; numbers and truth values stand as they are;
+    lists, maps and structs are quoted JSON; a null is null. A name that is no field stays."""
+    kinds, parts, at = {f.name: f.dataType.simpleString() for f in df.schema}, [], 0
+
+    def quoted(x: Column) -> Column:
+        return F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+    for m in re.finditer(r"'\{(\w+)\}'|\{(\w+)\}", template):
+        name = m[1] or m[2]
+        if name not in kinds:
+            continue
+        x, kind = F.col(name), kinds[name]
+        if kind in ("boolean", "float", "double") or kind.endswith("int") or kind.startswith("decimal"):
+            text = x.cast("string")
+        else:
+            text = quoted(F.to_json(x) if kind.startswith(("array", "map", "struct")) else x.cast("string"))
+        parts += [F.lit(template[at : m.start()]), F.coalesce(text, F.lit("null"))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
 
 
+@dataclass
+class Rules:
+    """Named pipelines. A stream's foreachBatch asks for them anew with each batch, so a rule that is added,
+    replaced or removed takes effect with the next one, without a restart."""
+
+    held: dict[str, tuple[int, Pipeline]] = field(default_factory=dict)
+
+    def register(self, name: str, pipeline: Pipeline) -> int:
+        version = self.held[name][0] + 1 if name in self.held else 1
+        self.held[name] = (version, pipeline)
+        return version
+
+    def remove(self, name: str) -> None:
+        del self.held[name]
+
+    def listed(self) -> list[tuple[str, int]]:
+        return sorted((n, v) for n, (v, _) in self.held.items())
+
+    def load(self, text: str | dict) -> list[str]:
+        """Rules from JSON: {name: {where, mappings: [{source, target, function, args}], checks: [{field, kind,
+        args}], enrich: {name: expression}, on_error}}. Returns the names whose rules changed."""
+        spec = json.loads(text) if isinstance(text, str) else text
+        changed = []
+        for name, r in spec.items():
+            p = Pipeline(r.get("where"), [Mapping(m["source"], m["target"], m.get("function"), tuple(m.get("args", ()))) for m in r.get("mappings", [])], [Check(c["field"], c["kind"], tuple(c.get("args", ()))) for c in r.get("checks", [])], {k: expression(x) for k, x in r.get("enrich", {}).items()}, r.get("on_error", "skip"))
+            if name not in self.held or str(self.held[name][1]) != str(p):
+                self.register(name, p)
+                changed.append(name)
+        return changed
+
+    def batch(self, name: str, write: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+        """A foreachBatch function: write(good, rejected) of the rule as it is when the batch runs."""
+        return lambda df, _: write(*self.held[name][1].run(df))
+
+
 # --- expression functions ------------------------------------------------------------------------
 
 _EXPR = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([A-Za-z_]\w*)|'([^']*)'|(<=|>=|==|!=|&&|\|\||[-+*/<>]))")
@@ -207,10 +287,32 @@ class Functions:
     def register_expression(self, name: str, text: str) -> None:
         self.held[name] = lambda: expression(text)
 
-    def register_python(self, name: str, f: Callable[[dict], Any], columns: list[str], kind: str = "string") -> None:
+    def register_python(self, name: str, f: Callable[[dict], Any], columns: list[str], kind: str = "string", *, timeout_s: float = 30.0, max_bytes: int = 1 << 20) -> None:
+        """f: a row's columns as a dictionary -> value. Rows come in Arrow batches; a row that takes longer
+        than `timeout_s`, or whose text is over `max_bytes`, fails the job."""
+
+        def one(r: dict) -> Any:
+            x = f(r)
+            if isinstance(x, (str, bytes)) and len(x) > max_bytes:
+                raise ValueError(f"{name}: a result of {len(x)} is over {max_bytes}")
+            return x
+
         @F.pandas_udf(kind)
         def batch(rows: pd.DataFrame) -> pd.Series:
-            return pd.Series([f(r) for r in rows.to_dict("records")])
+            import signal
+
+            def late(*_: Any) -> None:
+                raise TimeoutError(f"{name}: a row took over {timeout_s} s")
+
+            old, out = signal.signal(signal.SIGALRM, late), []
+            try:
+                for r in rows.to_dict("records"):
+                    signal.setitimer(signal.ITIMER_REAL, timeout_s)
+                    out.append(one(r))
+            finally:
+                signal.setitimer(signal.ITIMER_REAL, 0)
+                signal.signal(signal.SIGALRM, old)
+            return pd.Series(out)
 
         self.held[name] = lambda: batch(F.struct(*columns))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PROVENANCE = ("event_id", "event_time_us", "ingest_time_us", "source")
 RAW_EVENT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("event_time_us", T.LongType()), T.StructField("ingest_time_us", T.LongType()), T.StructField("source", T.StringType()), T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("subject", T.StringType()), T.StructField("payload", T.StringType())])
-#: Names of declared types in event schemas; anything else is a string.
+#: Names of declared types in event schemas; anything else is a string.
 TYPE_NAMES = {"string": "string", "str": "string", "text": "string", "int": "bigint", "integer": "bigint", "long": "bigint", "float": "double", "double": "double", "number": "double", "bool": "boolean", "boolean": "boolean", "timestamp": "timestamp", "datetime": "timestamp", "date": "timestamp"}
 
 
@@ -30,9 +30,9 @@ def flattened(events: DataFrame, fields: dict[str, str], payload: str = "payload
     for name, kind in fields.items():
         if name in others:
             continue
-        got = F.try_variant_get(doc, f"$['{name}']" if not name.isidentifier() else f"$.{name}", "string")
-        null = F.get_json_object(F.col(payload), f"$.{name}").isNull() & F.col(payload).rlike(f'"{re.escape(name)}"\\s*:\\s*null')
-        value = got if kind != "string" else F.when(null, F.lit("")).otherwise(got)
+        path = f"$['{name}']" if not name.isidentifier() else f"$.{name}"
+        got = F.try_variant_get(doc, path, "string")
+        value = got if kind != "string" else F.when(F.is_variant_null(F.try_variant_get(doc, path, "variant")), F.lit("")).otherwise(got)
         cols.append(F.when(is_object, value if kind == "string" else value.try_cast(kind)).alias(name))
     return events.select(*others, *cols, F.when(~is_object, F.col(payload)).alias("_payload"))
 
@@ -49,9 +49,22 @@ def delta(log: DataFrame, after: int, upto: int, expired: int = -1) -> DataFrame
     return log.where((F.col("_snapshot") > after) & (F.col("_snapshot") <= upto))
 
 
-def compacted(path_df: DataFrame, target_rows: int = 1_000_000) -> DataFrame:
-    """The same rows in fewer files: a rebalance that Spark sizes itself."""
-    return path_df.hint("rebalance")
+def compacted(log: DataFrame, target_rows: int = 1_000_000) -> DataFrame:
+    """The same rows in partitions (files, when written) of about `target_rows`, small files merged and large
+    ones split."""
+    files = -(-log.count() // target_rows) or 1
+    return log.repartition(files)
+
+
+def consolidation(spark: SparkSession, path: str, *, least: int = 10, most: int = 100, ratio: float = 0.3) -> list[str]:
+    """The files of a Parquet folder that are worth merging: those under `ratio` times the largest file, at most
+    `most` of them, smallest first; none if fewer than `least` are."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+    top = rows.agg(F.max("length")).first()[0]
+    if top is None:
+        return []
+    small = [r.path for r in rows.where(F.col("length") <= ratio * top).orderBy("length", "path").limit(most).collect()]
+    return small if len(small) >= least else []
 
 
 def field_records(events: DataFrame, id_field: str, label_field: str | None = None, payload: str = "payload") -> DataFrame:

@@ -55,6 +55,29 @@ def as_of(changes: DataFrame, t: Column | int | str) -> tuple[DataFrame, DataFra
     return props, edges
 
 
+def snapshot_graph(changes: DataFrame, t: Column | int | str, types: dict[str, dict[str, str]] | None = None):
+    """The graph at time `t`, for queries that run on it. Nodes are named "Label:id" (`qid`, and `value` of
+    edges); types: {label: {property: Spark type}}, strings else. The labels, properties and kinds of
+    relationships that stand in the log (a schema's worth) are listed by the driver; rows aren't."""
+    from ..catalog import Graph
+
+    props, edges = as_of(changes, t)
+    label, ident = F.substring_index("qid", ":", 1), F.expr("substring(qid, instr(qid, ':') + 1)")
+    rows = props.select(label.alias("label"), ident.alias("id"), "key", "value")
+    g, known = Graph(changes.sparkSession), {}
+    for r in rows.select("label", "key").distinct().collect():
+        known.setdefault(r.label, []).append(r.key)
+    for name, keys in sorted(known.items()):
+        kinds = (types or {}).get(name, {})
+        wide = rows.where(F.col("label") == name).groupBy("id").pivot("key", sorted(keys)).agg(F.first("value"))
+        g = g.with_vertices(name, wide.select(F.col("id").cast(kinds.get("id", "string")).alias("id"), *[F.col(f"`{k}`").cast(kinds.get(k, "string")).alias(k) for k in sorted(keys)]))
+    ends = edges.select("rel_type", F.substring_index("src", ":", 1).alias("a"), F.expr("substring(src, instr(src, ':') + 1)").alias("src"), F.substring_index("dst", ":", 1).alias("b"), F.expr("substring(dst, instr(dst, ':') + 1)").alias("dst"))
+    for r in ends.select("rel_type", "a", "b").distinct().orderBy("rel_type", "a", "b").collect():
+        kind = lambda x: (types or {}).get(x, {}).get("id", "string")
+        g = g.with_edges(r.rel_type, r.a, r.b, ends.where((F.col("rel_type") == r.rel_type) & (F.col("a") == r.a) & (F.col("b") == r.b)).select(F.col("src").cast(kind(r.a)).alias("src"), F.col("dst").cast(kind(r.b)).alias("dst")))
+    return g
+
+
 def as_of_literal(text: str) -> int:
     """Microseconds of an AS OF literal: a number of microseconds, or YYYYMMDD (UTC, exact)."""
     from datetime import UTC, datetime

@@ -24,9 +24,11 @@ def levels(edges: DataFrame, starts: DataFrame, longest: int | None):
     for depth in count(1):
         if longest is not None and depth > longest:
             return
-        step = cut(frontier.join(edges, frontier["node"] == edges["u"]).select("start", F.col("v").alias("node")).distinct())
-        yield depth, step
-        frontier = cut(step.join(visited, ["start", "node"], "left_anti"))
+        step = frontier.join(edges, frontier["node"] == edges["u"]).select("start", F.col("v").alias("node")).distinct()
+        # the rows and which of them are new, in one job
+        step = cut(step.join(visited.withColumn("old", F.lit(True)), ["start", "node"], "left"))
+        yield depth, step.select("start", "node")
+        frontier = step.where("old is null").select("start", "node")
         if depth == longest or frontier.isEmpty():
             return
         visited = visited.unionByName(frontier)
@@ -34,6 +36,25 @@ def levels(edges: DataFrame, starts: DataFrame, longest: int | None):
             visited = cut(visited)
 
 
+def distances(edges: DataFrame, starts: DataFrame, longest: int | None) -> DataFrame:
+    """start, node, hops: the fewest edges (at least one) from each start to what it reaches within `longest`, by one
+    search from all starts."""
+    parts = []
+    for depth, step in levels(edges, starts, longest):
+        parts.append(step.withColumn("hops", F.lit(depth)))
+        if len(parts) > CUT_LEVELS:
+            parts = [cut(reduce(DataFrame.unionByName, parts).groupBy("start", "node").agg(F.min("hops").alias("hops")))]
+    if not parts:
+        return starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+
+
+def lookup(closure_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: u, v. With `reachable` and `distance` (null where v can't be reached), from a closure's rows."""
+    found = pairs.select("u", "v").distinct().join(closure_rows.select("u", "v", "distance"), ["u", "v"], "left")
+    return found.select("u", "v", F.col("distance").isNotNull().alias("reachable"), "distance")
+
+
 def var_length(edges: DataFrame, starts: DataFrame, least: int, most: int | None) -> DataFrame:
     """Distinct (start, node): an edge u -> node exists with dist(start, u) = d - 1 for some d in
     [least, most]; with least = 0 the start itself as well. most = None: as far as there are edges."""

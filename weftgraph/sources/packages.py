@@ -7,11 +7,12 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.eventlog import TYPE_NAMES
-from ..streaming.standing import StandingQuery, pattern_of
+from ..streaming.standing import TRANSITION, Runner, StandingQuery, query_of, transition_stream
 
 
 def loaded(text: str | dict) -> dict:
@@ -85,5 +86,48 @@ class Recipe:
     @classmethod
     def of(cls, text: str | dict) -> Recipe:
         d: dict[str, Any] = loaded(text)
-        queries = [StandingQuery(str(q.get("id", q["name"])), q["name"], pattern_of(q["pattern"])) for q in d.get("standing_queries", [])]
+        queries = [query_of(q) for q in d.get("standing_queries", [])]
         return cls(d.get("name", "recipe"), queries, d.get("ingest_sources", []), d.get("outputs", []))
+
+    def start(self, spark: SparkSession, checkpoint: str, *, available_now: bool = False) -> list[StreamingQuery]:
+        """Starts what the recipe describes: each source's events become field changes, the standing queries run
+        on them, and what they report goes to every output. A source is {type: file | poll, ...}, an output
+        {type: file | console | drop | webhook | kafka, ...}."""
+        from ..operators.eventlog import field_records
+        from . import readers, sinks
+
+        registry = sinks.Registry()
+        for i, o in enumerate(self.outputs):
+            registry.register(str(o.get("name", i)), sinks.made(o))
+        plain, started = [q for q in self.standing_queries if not q.hops], []
+        linked = [q for q in self.standing_queries if q.hops]
+        for i, s in enumerate(self.sources):
+            if s["type"] == "file":
+                events = readers.json_lines(spark, s["path"], s.get("topic", self.name), s["id_field"], s.get("event_time_field"))
+            elif s["type"] == "poll":
+                events = readers.polled(spark, s["client"], **s.get("options", {}))
+            elif s["type"] == "kafka":
+                events = readers.kafka(spark, s["brokers"], s["topic"], key_field=s.get("id_field"))
+            else:
+                raise ValueError(f"unknown source {s['type']!r}")
+            rows = field_records(events.withColumn("event_time_us", F.coalesce(F.unix_micros("event_time"), F.lit(0).cast("long"))), s["id_field"])
+            changes = rows.select("qid", "key", "value", "event_time_us", F.col("event_time_us").alias("seq"))
+            if plain:
+                out = transition_stream(changes, plain).writeStream.foreachBatch(registry.fan_out)
+                started.append(_go(out, f"{checkpoint}/{i}", available_now))
+            if linked:  # a field named edge:TYPE holds the target of a relationship
+                is_edge = F.col("key").startswith("edge:")
+                log = changes.select("qid", F.when(is_edge, "add_edge").otherwise("set").alias("op"), F.when(is_edge, F.substring_index("key", ":", -1)).otherwise(F.col("key")).alias("key"), "value", F.col("event_time_us").alias("event_time"), "seq")
+                runner = Runner(spark, f"{checkpoint}/{i}-state", linked)
+
+                def handle(batch: DataFrame, batch_id: int, runner=runner) -> None:
+                    runner(batch, batch_id)
+                    registry.fan_out(runner._read("results", batch_id, TRANSITION), batch_id)
+
+                started.append(_go(log.writeStream.foreachBatch(handle), f"{checkpoint}/{i}-edges", available_now))
+        return started
+
+
+def _go(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

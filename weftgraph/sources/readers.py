@@ -6,10 +6,11 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators.temporal import event_time
 from ..shipping import ship_package
@@ -35,22 +36,46 @@ def kafka(spark: SparkSession, brokers: str, topic: str, *, group: str | None =
     return r.load().select(ident.alias("event_id"), F.col("timestamp").alias("event_time"), F.col("topic"), payload.alias("payload"))
 
 
-def scripted(options: dict, at: int) -> tuple[list[tuple], int]:
-    """A client for tests: the records of the option `records`, a JSON list of [event_id, topic, payload],
-    two at a poll."""
-    rows = json.loads(options["records"])[at : at + 2]
-    return [(i, None, topic, payload) for i, topic, payload in rows], at + len(rows)
+class Client:
+    """What a polled source needs of a broker: its shards' newest positions, and the records between two
+    positions of one shard. A record is (event_id, event_time, topic, payload); positions are integers, and the
+    same positions give the same records again."""
 
+    def __init__(self, options: dict):
+        self.options = options
+
+    def latest(self) -> dict[str, int]:
+        raise NotImplementedError
+
+    def read(self, shard: str, start: int, end: int) -> Iterator[tuple]:
+        raise NotImplementedError
+
+
+class Scripted(Client):
+    """A client for tests: the option `records`, a JSON list of [event_id, topic, payload] for each of the
+    `shards`, dealt in turn."""
+
+    def _own(self, shard: str) -> list:
+        n = int(self.options.get("shards", 1))
+        return json.loads(self.options["records"])[int(shard) :: n]
+
+    def latest(self) -> dict[str, int]:
+        return {str(i): len(self._own(str(i))) for i in range(int(self.options.get("shards", 1)))}
+
+    def read(self, shard: str, start: int, end: int) -> Iterator[tuple]:
+        for i, topic, payload in self._own(shard)[start:end]:
+            yield i, None, topic, payload
 
-def _client(path: str):
-    module, _, name = path.partition(":")
-    return getattr(importlib.import_module(module), name)
+
+def _client(options: dict) -> Client:
+    module, _, name = options["client"].partition(":")
+    return getattr(importlib.import_module(module), name)(options)
 
 
 class PollSource(DataSource):
-    """format("weft_poll"): polls a client from the last offset on. The option `client` names a function as
-    "module:function" (it is looked up where the reader runs): (options, offset) -> (RAW tuples, next
-    offset). A batch that runs again gets the records it had, from the client, by its offset."""
+    """format("weft_poll"): reads a broker through a Client, one partition a shard, so records go from the broker to
+    the executors and never through the driver. The option `client` names its class as "module:Class"
+    (looked up where the reader runs)."""
 
     @classmethod
     def name(cls) -> str:
@@ -59,30 +84,35 @@ class PollSource(DataSource):
     def schema(self) -> str:
         return RAW
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _Poll(self.options)
 
 
-class _Poll(SimpleDataSourceStreamReader):
+@dataclass
+class _Shard(InputPartition):
+    name: str
+    start: int
+    end: int
+
+
+class _Poll(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"at": int(self.options.get("start", 0))}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at = _client(self.options["client"])(self.options, start["at"])
-        return iter(rows), {"at": at}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        rows, at = [], start["at"]
-        while at < end["at"]:
-            more, nxt = _client(self.options["client"])(self.options, at)
-            rows += more[: end["at"] - at]
-            if nxt == at:
-                break
-            at = nxt
-        return iter(rows)
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return _client(self.options).latest()
+
+    def partitions(self, start: dict, end: dict) -> list[_Shard]:
+        return [_Shard(s, start.get(s, 0), n) for s, n in sorted(end.items()) if n > start.get(s, 0)]
+
+    def read(self, partition: _Shard) -> Iterator[tuple]:
+        return iter(_client(self.options).read(partition.name, partition.start, partition.end))
+
+    def commit(self, end: dict) -> None:
+        """Positions are Spark's; brokers that need no acknowledgement get none."""
 
 
 def polled(spark: SparkSession, client: str, **options: str) -> DataFrame:

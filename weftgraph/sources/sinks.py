@@ -1,14 +1,16 @@
-"""Sinks for results: files, Kafka, web hooks, console, nothing; and one result to several of them."""
+"""Sinks for results: files with rotation, Kafka, web hooks, console, nothing; one result to several of them; and
+backups of a graph with checksums."""
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,11 +18,64 @@ def json_files(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
     df.write.mode("append").option("maxRecordsPerFile", max_rows).json(path)
 
 
+@dataclass
+class RotatingJson:
+    """JSON-lines files of about `max_bytes`, of which the newest `keep` stay (all, if None)."""
+
+    path: str
+    max_bytes: int = 100 << 20
+    keep: int | None = 5
+
+    def write(self, df: DataFrame) -> None:
+        lines = df.select(F.to_json(F.struct("*")).alias("value"))
+        n, size = lines.agg(F.count("*"), F.sum(F.octet_length("value") + 1)).first()
+        if n:
+            lines.write.mode("append").option("maxRecordsPerFile", max(1, n * self.max_bytes // size)).text(self.path)
+        self._prune(df.sparkSession)
+
+    def files(self, spark: SparkSession) -> list[str]:
+        """The files, oldest first."""
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.path).select("path", "modificationTime")
+        return [r.path for r in rows.orderBy("modificationTime", "path").collect()]
+
+    def _prune(self, spark: SparkSession) -> None:
+        if self.keep is None:
+            return
+        jvm = spark.sparkContext._jvm
+        for path in self.files(spark)[: -self.keep]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+
+
+def console(df: DataFrame, rows: int = 20, pretty: bool = False) -> None:
+    """The first rows as JSON on the driver's output, indented if `pretty`."""
+    for r in df.select(F.to_json(F.struct("*"))).limit(rows).collect():
+        print(json.dumps(json.loads(r[0]), indent=2) if pretty else r[0], flush=True)
+
+
+def drop(df: DataFrame) -> None:
+    """Computes the rows and discards them."""
+    df.write.format("noop").mode("append").save()
+
+
 def kafka_rows(df: DataFrame, key: str = "sq_name") -> DataFrame:
     """key and value as a Kafka writer takes them."""
     return df.select((F.col(key).cast("string") if key in df.columns else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def kafka(df: DataFrame, brokers: str, topic: str, key: str = "sq_name", retries: int = 3) -> None:
+    """Writes to a topic (needs the Kafka connector on the class path); a failed send is repeated by the producer."""
+    kafka_rows(df, key).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).option("kafka.retries", retries).option("kafka.acks", "all").save()
+
+
+def bearer(token: str) -> dict[str, str]:
+    return {"Authorization": f"Bearer {token}"}
+
+
+def basic(user: str, password: str) -> dict[str, str]:
+    return {"Authorization": "Basic " + base64.b64encode(f"{user}:{password}".encode()).decode()}
+
+
 @dataclass
 class Webhook:
     """POSTs each row as JSON from the executors, with retries that wait twice as long each time."""
@@ -77,10 +132,34 @@ class Registry:
             batch.unpersist()
 
 
+def made(spec: dict) -> Callable[[DataFrame], None]:
+    """A sink from its description: {type: file | console | drop | webhook | kafka, and its options}."""
+    options = {k: v for k, v in spec.items() if k not in ("type", "name")}
+    if spec["type"] == "file":
+        return RotatingJson(**options).write
+    if spec["type"] == "console":
+        return lambda df: console(df, **options)
+    if spec["type"] == "drop":
+        return drop
+    if spec["type"] == "webhook":
+        auth = options.pop("auth", {})
+        headers = options.pop("headers", {}) | (bearer(auth["token"]) if "token" in auth else basic(auth["user"], auth["password"]) if auth else {})
+        return Webhook(headers=headers, **options).write
+    if spec["type"] == "kafka":
+        return lambda df: kafka(df, **options)
+    raise ValueError(f"unknown sink {spec['type']!r}")
+
+
+def checksum(df: DataFrame) -> str:
+    """Of all rows whatever their order: their number and the sum of their hashes."""
+    r = df.agg(F.count("*"), F.sum(F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]).cast("decimal(38,0)"))).first()
+    return f"{r[0]}:{r[1] or 0}"
+
+
 def backup(graph, path: str) -> None:
-    """All vertex and edge tables as Parquet, with their schema of labels and types."""
+    """All vertex and edge tables as Parquet, with their schema of labels and types and a checksum of each."""
     spark = graph.spark
-    meta = {"vertices": [[t.label, t.extra] for t in graph.vertices.values()], "edges": [[e.rel_type, e.src_label, e.dst_label, list(e.key)] for e in graph.edges]}
+    meta = {"vertices": [[t.label, t.extra, checksum(t.df)] for t in graph.vertices.values()], "edges": [[e.rel_type, e.src_label, e.dst_label, list(e.key), checksum(e.df)] for e in graph.edges]}
     for t in graph.vertices.values():
         t.df.write.mode("overwrite").parquet(f"{path}/v/{t.label}")
     for e in graph.edges:
@@ -89,12 +168,19 @@ def backup(graph, path: str) -> None:
 
 
 def restore(spark, path: str):
+    """The graph of a backup; ValueError if a table isn't what was written."""
     from ..catalog import Graph
 
+    def table(name: str, wanted: str) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{name}")
+        if checksum(df) != wanted:
+            raise ValueError(f"{path}/{name}: the checksum differs")
+        return df
+
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     g = Graph(spark)
-    for label, extra in meta["vertices"]:
-        g = g.with_vertices(label, spark.read.parquet(f"{path}/v/{label}"), extra)
-    for rel, a, b, key in meta["edges"]:
-        g = g.with_edges(rel, a, b, spark.read.parquet(f"{path}/e/{a}_{rel}_{b}"), tuple(key))
+    for label, extra, wanted in meta["vertices"]:
+        g = g.with_vertices(label, table(f"v/{label}", wanted), extra)
+    for rel, a, b, key, wanted in meta["edges"]:
+        g = g.with_edges(rel, a, b, table(f"e/{a}_{rel}_{b}", wanted), tuple(key))
     return g

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("exists", "equals", "not_equals", "greater_than", "less_than", "starts_with", "contains", "ends_with", "is_null", "is_not_null")
@@ -117,12 +118,53 @@ def pattern_of(spec: dict) -> Any:
         return Not(pattern_of(spec["not"]))
     if "labels" in spec:
         return Labels(tuple(spec["labels"]))
-    kind = spec.get("type", "exists")
+    tagged = next((k for k in ("PropertyFilter", "LabelFilter", "And", "Or", "Not") if k in spec or spec.get("type") == k), None)
+    if tagged is not None:  # a kind with its fields, as the key's value or beside `type`
+        body = spec.get(tagged, spec)
+        if tagged == "PropertyFilter":
+            condition = body["condition"]
+            kind, value = next(iter(condition.items())) if isinstance(condition, dict) else (condition, None)
+            return Prop(body["key"], _snake(kind), value)
+        if tagged == "LabelFilter":
+            return Labels(tuple(body["labels"] if isinstance(body, dict) else body))
+        parts = body if not isinstance(body, dict) or "patterns" not in body and "pattern" not in body else body.get("patterns", body.get("pattern"))
+        if tagged == "Not":
+            return Not(pattern_of(parts))
+        return (All if tagged == "And" else Any_)(tuple(map(pattern_of, parts)))
+    kind = _snake(spec.get("type", "exists"))
     if kind not in KINDS:
         raise ValueError(f"unknown predicate {kind!r}")
     return Prop(spec["key"], kind, spec.get("value"))
 
 
+def _snake(name: str) -> str:
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
+
+
+def hop_of(spec: dict) -> Hop:
+    """An edge pattern: {rel_type, direction, min, max, target: pattern, next: edge pattern}."""
+    return Hop(spec["rel_type"], pattern_of(spec["target"]) if spec.get("target") else All(()), spec.get("direction", "out"), spec.get("min", 1), spec.get("max", 1), hop_of(spec["next"]) if spec.get("next") else None)
+
+
+def spec_of(p: Any) -> dict:
+    """The JSON form that `pattern_of` and `hop_of` read."""
+    if isinstance(p, Hop):
+        return {"rel_type": p.rel_type, "direction": p.direction, "min": p.least, "max": p.most, "target": spec_of(p.target)} | ({"next": spec_of(p.next)} if p.next else {})
+    if isinstance(p, All):
+        return {"and": [spec_of(x) for x in p.parts]}
+    if isinstance(p, Any_):
+        return {"or": [spec_of(x) for x in p.parts]}
+    if isinstance(p, Not):
+        return {"not": spec_of(p.part)}
+    if isinstance(p, Labels):
+        return {"labels": list(p.names)}
+    return {"type": p.kind, "key": p.key, "value": p.value}
+
+
+def query_of(spec: dict) -> StandingQuery:
+    return StandingQuery(str(spec.get("id", spec["name"])), spec["name"], pattern_of(spec["pattern"]), tuple(map(hop_of, spec.get("edges", []))), spec.get("version", 1))
+
+
 @dataclass
 class StandingQuery:
     sq_id: str
@@ -146,13 +188,30 @@ class Registry:
     def remove(self, sq_id: str) -> None:
         del self.held[sq_id]
 
+    def listed(self) -> list[tuple[str, str, int]]:
+        """(id, name, version)."""
+        return sorted((q.sq_id, q.name, q.version) for q in self.held.values())
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(json.dumps({"id": q.sq_id, "name": q.name, "version": q.version, "pattern": spec_of(q.pattern), "edges": [spec_of(h) for h in q.hops]}),) for q in self.held.values()]
+        spark.createDataFrame(rows, "spec string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Registry:
+        out = cls()
+        for r in spark.read.text(path).collect():  # a row a query
+            out.register(query_of(json.loads(r.value)))
+        return out
 
-def matching(nodes: DataFrame, q: StandingQuery, edges: DataFrame | None = None) -> DataFrame:
+
+def matching(nodes: DataFrame, q: StandingQuery, edges: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """Batch: ids of the nodes that match; nodes: id, labels and property columns; edges: src, dst, rel_type.
-    Hops are existence tests, one semi-join each."""
+    Hops are existence tests, one semi-join each. among: a table of ids that alone are asked for."""
     from ..plans.paths import var_length
 
     out = nodes.where(q.pattern.column()).select("id")
+    if among is not None:
+        out = out.join(among, "id", "left_semi")
     for hop in q.hops:
         out = out.join(_holders(nodes, edges, hop, var_length), "id", "left_semi")
     return out
@@ -180,13 +239,24 @@ def transitions(before: DataFrame, after: DataFrame, q: StandingQuery) -> DataFr
 RESULT = "sq_id string, name string, qid string, transition string, props string, version int, hit bigint"
 
 
-def transition_stream(changes: DataFrame, queries: list[StandingQuery]) -> DataFrame:
+def transition_stream(changes: DataFrame, queries: list[StandingQuery], stale_after: str | None = None) -> DataFrame:
     """changes: qid, key, value, event_time_us, seq (a null value removes the property; key 'labels'
     takes a comma-separated list). State per node: its properties with their clocks and which queries
-    it matches. Writes older than the property's clock are ignored; only changes of a match come out."""
+    it matches. Writes older than the property's clock are ignored; only changes of a match come out.
+    stale_after: a node that matches nothing and hasn't changed for so long ("10 minutes") loses its state.
+    Queries with edges need `Runner`, which holds the edges as well."""
+    if any(q.hops for q in queries):
+        raise ValueError("standing queries with edges go through Runner")
     held = [(q.sq_id, q.name, q.pattern, q.version) for q in queries]
+    wait_ms = _millis(stale_after) if stale_after else None
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            if any(json.loads(state.get[0])["match"].values()):
+                state.setTimeoutDuration(wait_ms)
+            else:
+                state.remove()
+            return
         props, match, hits = ({}, {}, 0)
         if state.exists:
             blob = json.loads(state.get[0])
@@ -207,14 +277,136 @@ def transition_stream(changes: DataFrame, queries: list[StandingQuery]) -> DataF
                     hits += 1
                     out.append((sq_id, name, key[0], "matched" if does else "unmatched", json.dumps({k: v[0] for k, v in props.items()}, sort_keys=True), version, hits))
         state.update((json.dumps({"props": props, "match": match, "hits": hits}),))
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame(out, columns=["sq_id", "name", "qid", "transition", "props", "version", "hit"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return changes.groupBy("qid").applyInPandasWithState(step, RESULT, "blob string", "append", GroupStateTimeout.NoTimeout)
+    return changes.groupBy("qid").applyInPandasWithState(step, RESULT, "blob string", "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
 
 
 def view_from_transitions(results: DataFrame) -> DataFrame:
     """The rows of the view that follows a standing query: its nodes that match now, by their last hit."""
     last = results.groupBy("sq_id", "qid").agg(F.max_by(F.struct("transition", "props"), "hit").alias("w"))
     return last.where("w.transition = 'matched'").select("sq_id", "qid", F.col("w.props").alias("props"))
+
+
+def _millis(text: str) -> int:
+    from .windows import in_millis
+
+    return in_millis(text)
+
+
+def _depth(hops: tuple[Hop, ...]) -> int:
+    return max((h.most + (_depth((h.next,)) if h.next else 0) for h in hops), default=0)
+
+
+def _keys(p: Any) -> set[str]:
+    """Properties that a pattern reads."""
+    if isinstance(p, Prop):
+        return {p.key}
+    if isinstance(p, (All, Any_)):
+        return set().union(*map(_keys, p.parts)) if p.parts else set()
+    if isinstance(p, Not):
+        return _keys(p.part)
+    if isinstance(p, Hop):
+        return _keys(p.target) | (_keys(p.next) if p.next else set())
+    return set()
+
+
+CHANGE = "qid string, op string, key string, value string, event_time long, seq long"
+LOG = CHANGE
+MATCH = "sq_id string, id string"
+TRANSITION = "sq_id string, name string, qid string, transition string, version int"
+
+
+@dataclass
+class Runner:
+    """Standing queries with edges on a stream of changes, as a foreachBatch function.
+
+    State is a folder per batch below `path`: the winning write of each property and edge, and who matches
+    what. A batch's changes touch their nodes, and the nodes from which these can be reached by as many
+    hops as a pattern has; only those are asked again. A batch that is repeated starts from the
+    state before it and writes the same folders. Transitions stand in `path`/results, by batch."""
+
+    spark: SparkSession
+    path: str
+    queries: list[StandingQuery]
+
+    def _read(self, kind: str, batch_id: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{batch_id}") if batch_id >= 0 else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, kind: str, batch_id: int, schema: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/{batch_id}")
+        return self._read(kind, batch_id, schema)
+
+    def results(self) -> DataFrame:
+        return self.spark.read.schema(TRANSITION).option("recursiveFileLookup", True).parquet(f"{self.path}/results")
+
+    def matches(self, batch_id: int) -> DataFrame:
+        return self._read("matches", batch_id, MATCH)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        """batch: CHANGE, with op set, remove, add_edge (key: type, value: target) or remove_edge."""
+        old_log, old = self._read("log", batch_id - 1, LOG), self._read("matches", batch_id - 1, MATCH)
+        edge = F.col("op").isin("add_edge", "remove_edge")
+        every = old_log.unionByName(batch.select(*old_log.columns)).withColumn("edge", edge).withColumn("to", F.when(edge, F.col("value")))
+        last = every.groupBy("qid", "edge", "key", "to").agg(F.max_by(F.struct(*[c for c in old_log.columns if c not in ("qid", "key")]), F.struct("event_time", "seq")).alias("w"))
+        log = self._write(last.select("qid", "w.op", "key", "w.value", "w.event_time", "w.seq"), "log", batch_id, LOG)
+
+        keys = sorted(set().union(*[_keys(q.pattern) | set().union(*map(_keys, q.hops)) for q in self.queries]) | {"labels"})
+        props = log.where(F.col("op") == "set").groupBy(F.col("qid").alias("id")).pivot("key", keys).agg(F.first("value"))
+        nodes = props.withColumn("labels", F.split(F.coalesce("labels", F.lit("")), ","))
+        edges = log.where(F.col("op") == "add_edge").select(F.col("qid").alias("src"), F.col("value").alias("dst"), F.col("key").alias("rel_type"))
+
+        touched = batch.select(F.col("qid").alias("id")).distinct()
+        reach, frontier = touched, touched
+        for _ in range(max((_depth(q.hops) for q in self.queries), default=0)):  # the hops of a pattern
+            ends = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            frontier = ends.join(frontier, ends["dst"] == frontier["id"], "left_semi").select(F.col("src").alias("id"))
+            reach = reach.unionByName(frontier).distinct()
+        among = self._write(reach, "touched", batch_id, "id string")
+
+        now = None
+        for q in self.queries:
+            part = matching(nodes, q, edges, among).select(F.lit(q.sq_id).alias("sq_id"), "id").distinct()
+            now = part if now is None else now.unionByName(part)
+        before = old.join(among, "id", "left_semi").withColumn("was", F.lit(True))
+        both = before.join(now.withColumn("now", F.lit(True)), ["sq_id", "id"], "full_outer").where("was is null or now is null")
+        named = self.spark.createDataFrame([(q.sq_id, q.name, q.version) for q in self.queries], "sq_id string, name string, version int")
+        changed = both.join(F.broadcast(named), "sq_id").select("sq_id", "name", F.col("id").alias("qid"), F.when(F.col("now"), "matched").otherwise("unmatched").alias("transition"), "version")
+        done = self._write(changed, "results", batch_id, TRANSITION)
+        gone = done.where("transition = 'unmatched'").select("sq_id", F.col("qid").alias("id"))
+        new = done.where("transition = 'matched'").select("sq_id", F.col("qid").alias("id"))
+        self._write(old.join(gone, ["sq_id", "id"], "left_anti").unionByName(new), "matches", batch_id, MATCH)
+
+
+def low_watermark(positions: dict[str, int]) -> int | None:
+    """The position up to which all shards have been read: the least of the shards'; None without shards."""
+    return min(positions.values(), default=None)
+
+
+def positions(progress: dict) -> dict[str, int]:
+    """The position of each shard of a streaming query's last progress: Kafka's partitions, a poll source's
+    shards, or a file source's log offset."""
+    out: dict[str, int] = {}
+    for i, source in enumerate(progress.get("sources", [])):
+        end = source.get("endOffset")
+        end = json.loads(end) if isinstance(end, str) else end
+
+        def walk(x: Any, name: str) -> None:
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    walk(v, f"{name}/{k}")
+            elif isinstance(x, int):
+                out[name] = x
+
+        walk(end, str(i))
+    return out
+
+
+def lags(results: DataFrame, now: Column | None = None) -> DataFrame:
+    """sq_id, lag_s: seconds since each standing query last reported anything; results: sq_id, at (timestamp)."""
+    now = F.current_timestamp() if now is None else now
+    return results.groupBy("sq_id").agg((F.unix_micros(now) - F.unix_micros(F.max("at"))).alias("us")).select("sq_id", (F.col("us") / 1e6).alias("lag_s"))

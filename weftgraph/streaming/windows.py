@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _delay(*parts: str) -> str:
-    """'10 seconds', '5 seconds' -> '15 seconds'."""
+def in_millis(text: str) -> int:
     unit = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-    total = sum(int(n) * unit[u.rstrip("s")] for n, u in (p.split() for p in parts))
-    return f"{total} milliseconds"
+    n, u = text.split()
+    return int(n) * unit[u.rstrip("s")]
+
+
+def _delay(*parts: str) -> str:
+    """'10 seconds', '5 seconds' -> '15000 milliseconds'."""
+    return f"{sum(map(in_millis, parts))} milliseconds"
 
 
 def watermarked(df: DataFrame, ts: str, out_of_orderness: str = "0 seconds", lateness: str = "0 seconds") -> DataFrame:
