@@ -471,7 +471,7 @@ def stream_dropped_late(spark: SparkSession, d: str) -> DataFrame:
     def run(s: DataFrame, cp: str):
         # each event is a window of its own key, so that no two late ones are counted as one row of a partial aggregate
         keyed = s.withWatermark("ts", "0 seconds").groupBy(F.window("ts", "1 hour"), "event_id").agg(F.count("*").alias("n"))
-        q = keyed.writeStream.foreachBatch(lambda *_: None).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q = keyed.writeStream.format("noop").option("checkpointLocation", cp).trigger(availableNow=True).start()
         q.awaitTermination()
         counts.append(pipeline.dropped_late(q))
         return q

@@ -356,7 +356,7 @@ class Runner:
         log = self._write(last.select("qid", "w.op", "key", "w.value", "w.event_time", "w.seq"), "log", batch_id, LOG)
 
         keys = sorted(set().union(*[_keys(q.pattern) | set().union(*map(_keys, q.hops)) for q in self.queries]) | {"labels"})
-        props = log.where(F.col("op") == "set").groupBy(F.col("qid").alias("id")).pivot("key", keys).agg(F.first("value"))
+        props = log.groupBy(F.col("qid").alias("id")).pivot("key", keys).agg(F.first(F.when(F.col("op") == "set", F.col("value")), ignorenulls=True))
         nodes = props.withColumn("labels", F.split(F.coalesce("labels", F.lit("")), ","))
         edges = log.where(F.col("op") == "add_edge").select(F.col("qid").alias("src"), F.col("value").alias("dst"), F.col("key").alias("rel_type"))
 
