@@ -29,7 +29,8 @@ class Mode:
         """`push`, `hybrid[:seconds]`, `pull[:seconds]` or `scheduled[:seconds]`; anything else, and a number of
         seconds that isn't positive, is pull every 60 seconds."""
         kind, _, rest = text.strip().lower().partition(":")
-        seconds = int(rest) if rest.strip().isdigit() and int(rest) > 0 else DEFAULT_SECONDS
+        rest = rest.strip()
+        seconds = int(rest) if rest.isdigit() and int(rest) > 0 else DEFAULT_SECONDS
         if kind in ("push", "hybrid"):
             return cls(kind, seconds)
         return cls("pull", seconds if kind in ("pull", "scheduled", "") else DEFAULT_SECONDS)

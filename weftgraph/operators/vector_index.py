@@ -52,8 +52,8 @@ class VectorIndex:
         n = df.count()
         some = df.sample(min(1.0, SAMPLE / max(1, n)), seed=5).limit(SAMPLE) if n > SAMPLE else df
         sample = prepared(np.array([r.embedding for r in some.select("embedding").collect()], float).reshape(-1, _width(df)), metric)
-        empty = cls(df.withColumn("list", F.lit(0)).limit(0), fitted(sample, lists) if len(sample) else np.zeros((1, 1)), metric)
-        return replace(empty, rows=cut(empty.assigned(df)))
+        empty = cls(df.withColumn("list", F.lit(0)).limit(0), fitted(sample, lists) if len(sample) else np.zeros((0, 1)), metric)
+        return replace(empty, rows=cut(empty.assigned(df))) if len(sample) else empty
 
     def assigned(self, df: DataFrame) -> DataFrame:
         """df: vec_id, embedding; with the nearest centroid as `list`."""
@@ -71,7 +71,9 @@ class VectorIndex:
         return df.mapInArrow(assign, f"vec_id {kind}, embedding {df.schema['embedding'].dataType.simpleString()}, list int")
 
     def insert(self, vectors: DataFrame) -> VectorIndex:
-        """Adds vectors (vec_id, embedding); one with a known id replaces the old one."""
+        """Adds vectors (vec_id, embedding); one with a known id replaces the old one. An empty index is built from them."""
+        if not len(self.centres):
+            return VectorIndex.build(vectors, metric=self.metric)
         return replace(self, rows=cut(self.remove(vectors).rows.unionByName(self.assigned(vectors.select("vec_id", "embedding")))))
 
     def remove(self, ids: DataFrame) -> VectorIndex:
@@ -81,7 +83,7 @@ class VectorIndex:
         """query_id, vec_id, distance, rank of (nearly always) the k nearest vectors of each query."""
         spark, out = self.rows.sparkSession, None
         rows = queries.where(F.col(vec).isNotNull()).select(vec_id, vec).toLocalIterator()
-        while some := [r for _, r in zip(range(block), rows)]:
+        while len(self.centres) and (some := [r for _, r in zip(range(block), rows)]):
             q = prepared(np.array([r[1] for r in some], float), self.metric)
             near = np.argpartition(-2 * q @ self.centres.T + (self.centres**2).sum(1)[None], min(probes, len(self.centres)) - 1, axis=1)[:, :probes]
             wanted = np.zeros((len(self.centres), len(some)), bool)
@@ -95,7 +97,7 @@ class VectorIndex:
 
             part = self.rows.select("vec_id", "embedding", "list").mapInArrow(look, "query_id long, vec_id long, distance double")
             out = part if out is None else out.unionByName(part)
-        if out is None:
+        if out is None:  # no queries, or no vectors
             return spark.createDataFrame([], "query_id long, vec_id long, distance double, rank int")
         w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -79,10 +79,10 @@ class GraphSession:
 
         def stop() -> None:
             late.set()
-            self.spark.interruptTag(tag)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
         timer = threading.Timer(limits.timeout_s, stop)
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
             got = self.cypher(text, params).limit(limits.max_rows + 1).collect()
@@ -92,7 +92,9 @@ class GraphSession:
             raise
         finally:
             timer.cancel()
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
+        if late.is_set():
+            raise LimitError(f"the query took over {limits.timeout_s} s")
         if len(got) > limits.max_rows:
             raise LimitError(f"the query has over {limits.max_rows} rows")
         return got
