@@ -18,8 +18,10 @@ becomes \\\\ and every "<|" becomes "<\\|", so escaped text never holds "<|".
 
 Rows are put together by conv_id and sorted by (turn, role, text) inside partitions, and rendered as
 they stream by: no conversation is held as a whole, and output comes in chunks of about CHUNK
-characters (cut between segments, so a text is never split) with the spans of the loss mask in each. Null role or text: empty. A null conv_id is a
-conversation of its own. Rows with equal conv_id and turn all count. An empty table gives no rows.
+characters (cut between segments, so a text is never split) with the spans of the loss mask in each.
+Null role or text: empty. Rows with a null conv_id are one conversation. A conversation of any number of
+turns is rendered by one task, in the order that it has, a text at a time. Rows with equal conv_id
+and turn all count. An empty table gives no rows. Extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import is_local
 from ..shipping import ship_package
 
 #: The white space of every word and line rule here: space and U+0009..U+000D.
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     elif spark.sparkContext.getCheckpointDir():
         base = spark.sparkContext.getCheckpointDir()
     else:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         _made.append(base)

@@ -3,8 +3,11 @@
 Native: only built-in expressions. Every line and every whole text is a unit. A unit is lower-cased,
 and what isn't a letter or digit becomes a space. Dice of distinct bigrams needs sizes within
 [d / (2 - d), (2 - d) / d] of each other, so the word count alone prunes most units before any
-bigram is made, and each template is compared only where its own bounds allow. Templates are a fixed
-list, so one pass and no shuffle.
+bigram is made, and each template is compared only where its own bounds allow. Templates are a list that
+the caller may replace, so one pass and no shuffle.
+
+In both functions a text of any length is one row's work, held in memory while it is compared; an empty
+table gives an empty result; extra columns, whatever their names, aren't read.
 
 One result per matching unit and template: doc_id, unit (line number from 1; 0 is the whole text of
 more than one line), license, dice. Null or empty text: no result. Repeated rows give repeated

@@ -21,7 +21,9 @@ a Jaccard similarity of 0.75 or more are linked; components of links are groups.
 
 Result per row of the input: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 Rows with equal doc_id are one row each; such a document is linked by any of its sets. A null doc_id is its own group, is kept
-and links nothing. An empty table gives an empty result.
+and links nothing. An empty table gives an empty result. A text of any length is one set, held in memory by
+the task that makes or compares it (8 bytes a distinct shingle). Extra columns, whatever their names, aren't
+read by `near_duplicates` and pass through `keep_representatives`.
 """
 
 from __future__ import annotations

@@ -1,8 +1,12 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Native: only built-in expressions, one pass, no shuffle. Every row is judged on its whole text.
-Null or empty text has no words and fails the base rule. Rows are judged one by one, so ties,
-repeated rows and extra columns don't matter; columns whose names start with `_q_` are reserved.
+Null or empty text has no words and fails the base rule. A text of any length is one row's work and is
+held in memory while it is judged. Rows are judged one by one, so ties, repeated rows and extra columns
+don't matter; an empty table gives an empty result. `quality_rules` and `measured` replace columns of the
+input that have their results' names (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+base_failed, kept), and names that start with `_q_` are reserved; `keep_good` takes any names and returns
+them as they are.
 """
 
 from __future__ import annotations
