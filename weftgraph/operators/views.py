@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+LOGGED = 1000
 VERSION, SNAPSHOT, UPDATED = "_mv_version", "_mv_src_snapshot_id", "_mv_updated_at"
 
 
@@ -23,12 +24,20 @@ class GraphView:
     rows: DataFrame
     version: int = 1
     key: tuple[str, ...] = field(default=())
+    log: tuple[tuple[int, dict[str, int]], ...] = ()  # the last LOGGED changes: version, number of each op
 
     def refreshed(self, rows: DataFrame) -> GraphView:
         return replace(self, rows=cut(rows), version=self.version + 1)
 
-    def applied(self, deltas: DataFrame) -> GraphView:
-        return replace(self, rows=cut(apply_deltas(self.rows, deltas, list(self.key))), version=self.version + 1)
+    def applied(self, deltas: DataFrame, expected: int | None = None) -> GraphView:
+        """With `deltas` (see apply_deltas) applied. ValueError if the view isn't at the version that the caller
+        expects, or if a row to insert is there already."""
+        if expected is not None and expected != self.version:
+            raise ValueError(f"{self.name} is at version {self.version}, not {expected}")
+        if not deltas.where("op = 'insert'").select(*self.key).join(self.rows, list(self.key), "left_semi").isEmpty():
+            raise ValueError(f"{self.name}: a row to insert is there already")
+        version, counts = self.version + 1, {r.op: r["count"] for r in deltas.groupBy("op").count().collect()}
+        return replace(self, rows=cut(apply_deltas(self.rows, deltas, list(self.key))), version=version, log=(*self.log, (version, counts))[-LOGGED:])
 
 
 def apply_deltas(rows: DataFrame, deltas: DataFrame, key: list[str]) -> DataFrame:

@@ -325,6 +325,20 @@ def sq_linked_view(spark: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT id, acctbal FROM rich")
 
 
+@_add("mv_delta_versions", "SELECT r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'changed' ELSE r_name END AS name, 3 AS version FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 50, 'new', 3")
+def mv_delta_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Changes apply to the version they were made for; a known key can't be inserted."""
+    view = views.GraphView("v", "", "manual", tpch_graph(spark, d).vertices["Region"].df.select("id", "name"), key=("id",))
+    change = lambda *rows: spark.createDataFrame(rows, "id int, name string, op string, seq int")
+    view = view.applied(change((50, "new", "insert", 1), (1, "changed", "update", 2)), expected=1).applied(change((2, "", "delete", 1)))
+    for rows, expected in (((50, "again", "insert", 1), 3), ((60, "late", "insert", 1), 2)):
+        try:
+            view = view.applied(change(rows), expected)
+        except ValueError:
+            continue
+    return view.rows.withColumn("version", F.lit(view.log[-1][0]))
+
+
 # --- time travel -----------------------------------------------------------------------------------------------
 
 
@@ -350,6 +364,9 @@ _as_of("as_of_cypher", "MATCH (u:User) AS OF 20240115 WHERE u.purchase > 20 RETU
 _as_of("as_of_edges", "MATCH (u:User)-[:DID]->(k:Kind) AS OF 1704758400000000 RETURN k.named AS kind, count(*) AS n", "SELECT event_type AS kind, count(DISTINCT user_id) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-09' AND user_id::VARCHAR IN (SELECT user_id::VARCHAR FROM events WHERE ts <= TIMESTAMP '2024-01-09') GROUP BY 1")
 
 
+_as_of("as_of_filters", "MATCH (u:User) AS OF '2024-01-12' WHERE u.click IS NOT NULL AND u.signup IS NULL OR u.purchase > 40 RETURN u.id AS id", f"WITH l AS ({_LOG}), w AS ({_LWW.format(_UNTIL.format('2024-01-12'))}), p AS (SELECT qid, max(value::DOUBLE) FILTER (key = 'purchase') AS purchase, bool_or(key = 'click') AS click, bool_or(key = 'signup') AS signup FROM w WHERE op = 'set' GROUP BY 1) SELECT qid::BIGINT AS id FROM p WHERE click AND NOT signup OR purchase > 40")
+
+
 # --- standing queries --------------------------------------------------------------------------------------------
 
 _SQ_KINDS = {"exists": ("", "p_name IS NOT NULL"), "equals": ("Brand#11", "p_brand = 'Brand#11'"), "not_equals": ("Brand#11", "p_brand <> 'Brand#11'"), "greater_than": (25, "p_size > 25"), "less_than": (5, "p_size < 5"), "starts_with": ("Brand#1", "starts_with(p_brand, 'Brand#1')"), "contains": ("#3", "contains(p_brand, '#3')"), "ends_with": ("2", "ends_with(p_brand, '2')"), "is_null": ("", "p_name IS NULL"), "is_not_null": ("", "p_name IS NOT NULL")}
@@ -480,6 +497,40 @@ def stream_dropped_late(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(sum(counts),)], "dropped long")
 
 
+@_add("stream_watermark", "SELECT epoch_ms(max(ts)) - 90000 AS watermark_ms FROM events")
+def stream_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """Where the watermark stands after two parts: behind the newest event by the disorder and the lateness."""
+    e, seen = _stream_events(spark, d), []
+
+    def run(s: DataFrame, cp: str):
+        w = windows.tumbling_stream(s, "ts", "value", "1 hour", "1 minute", "30 seconds")
+        q = w.writeStream.format("noop").option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.append(pipeline.watermark_of(q))
+        return q
+
+    _replayed(spark, [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")], run)
+    return spark.createDataFrame([(seen[-1],)], "w string").select(F.unix_millis(F.to_timestamp("w")).alias("watermark_ms"))
+
+
+@_add("stream_global_watermark", "SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')).epoch_ms() AS watermark_ms FROM events")
+def stream_global_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """Of two joined inputs the one that is further behind sets the watermark."""
+    pipeline.min_watermark_policy(spark)
+    seen = []
+
+    def run(s: DataFrame, cp: str):
+        clicks = s.where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("u"), F.col("ts").alias("at"))
+        bought = s.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("u"), F.col("ts").alias("paid"))
+        q = windows.joined_streams(clicks, bought, "u", "at", "paid", "1 hour", "0 seconds").writeStream.format("noop").option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.append(pipeline.watermark_of(q))
+        return q
+
+    _replayed(spark, [_stream_events(spark, d)], run)
+    return spark.createDataFrame([(seen[-1],)], "w string").select(F.unix_millis(F.to_timestamp("w")).alias("watermark_ms"))
+
+
 @_add("stream_sliding", "WITH w AS (SELECT time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01') AS b, value FROM events), s AS (SELECT b AS window_start, value FROM w UNION ALL SELECT b - INTERVAL '30 minutes', value FROM w) SELECT window_start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1 HAVING window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events)")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     got = _to_table(spark, [_stream_events(spark, d)], lambda s: windows.tumbling_stream(s, "ts", "value", "1 hour", slide="30 minutes"))
@@ -533,6 +584,19 @@ def source_json_lines(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@_add("source_polled", "SELECT n_nationkey::VARCHAR AS event_id, 'nation' AS topic, n_name AS name FROM nation")
+def source_polled(spark: SparkSession, d: str) -> DataFrame:
+    """A broker's three shards, each read by a partition of its own."""
+    import json
+
+    out, cp = scratch(spark, "polled"), scratch(spark, "polled-cp")
+    held = json.dumps([[str(r[0]), "nation", json.dumps({"n": r[1]})] for r in _t(spark, d, "nation").select("n_nationkey", "n_name").collect()])
+    q = readers.polled(spark, "weftgraph.sources.readers:Scripted", records=held, shards="3").writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(out).select("event_id", "topic", F.get_json_object("payload", "$.n").alias("name"))
+
+
 @_add("source_event_time", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN epoch_us(ts) // 1000 * 1000 ELSE epoch_us(ts) END AS us FROM events")
 def source_event_time(spark: SparkSession, d: str) -> DataFrame:
     """Times as seconds, milliseconds, microseconds and text."""

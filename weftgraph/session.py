@@ -153,8 +153,31 @@ class GraphSession:
         self.graph = self.graph.with_edges(rel_type, src_label, dst_label, old.df.unionByName(rows, allowMissingColumns=True) if old is not None else rows, old.key if old is not None else ())
         return rows.count()
 
-    def register_standing_query(self, q: standing.StandingQuery) -> None:
+    def create_standing_query(self, spec: dict[str, Any]) -> standing.StandingQuery:
+        """From its JSON form (see streaming.standing.query_of)."""
+        q = standing.query_of(spec)
         self.standing.register(q)
+        return q
+
+    def list_standing_queries(self) -> list[tuple[str, str, int]]:
+        return self.standing.listed()
+
+    def remove_standing_query(self, sq_id: str) -> None:
+        self.standing.remove(sq_id)
+
+    def standing_matches(self, sq_id: str, label: str) -> DataFrame:
+        """Ids of a label's nodes that match now; hops go along relationships from and to that label."""
+        edges = None
+        for e in self.graph.edges:
+            if e.src_label == e.dst_label == label:
+                part = e.df.select("src", "dst", F.lit(e.rel_type).alias("rel_type"))
+                edges = part if edges is None else edges.unionByName(part)
+        return standing.matching(self.graph.vertices[label].df, self.standing.held[sq_id], edges)
+
+    def run_recipe(self, text: str | dict[str, Any], checkpoint: str, **options: Any) -> list:
+        from .sources.packages import Recipe
+
+        return Recipe.of(text).start(self.spark, checkpoint, **options)
 
     def build_vector_index(self, name: str, vectors: DataFrame, **options: Any) -> vector_index.VectorIndex:
         self.indexes[name] = vector_index.VectorIndex.build(vectors, **options)
