@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm.common import saved
 from weftgraph.llm.decontaminate import keep_clean
-from weftgraph.llm.mixing import mix_sources
+from weftgraph.llm.mixing import mix_sources, with_blocks
 from weftgraph.llm.near_dup import keep_representatives
 from weftgraph.llm.quality import keep_good
 from weftgraph.llm.token_records import read_token_records, write_token_records
@@ -40,7 +41,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return read_token_records(write_token_records(docs, TOKENIZER))
+    """Records stand in the order of the mixture's blocks, so a document's copies lie a whole block apart."""
+    ordered = with_blocks(docs.select("doc_id", "source", "text"))
+    return read_token_records(write_token_records(ordered, TOKENIZER, order=[F.col("mix_block"), F.col("mix_key")]))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
