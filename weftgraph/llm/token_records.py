@@ -38,9 +38,9 @@ from .token_count import byte_symbols
 ENTRY = np.dtype([("offset", "<u8"), ("start", "<u8"), ("doc_id", "<i8"), ("n", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 #: Words a worker remembers (about 200 bytes each); the older half goes when it is full.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Characters of a text that is handed to the library's model at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: The steps of the vocabulary file that the plain path below follows.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
