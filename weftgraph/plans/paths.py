@@ -18,7 +18,7 @@ CUT_LEVELS = 8
 def levels(edges: DataFrame, starts: DataFrame, longest: int | None):
     """edges: u, v; starts: start (distinct). Yields for depth 1, 2, ...: (start, node) reached by an
     edge from a node whose distance is depth - 1; ends with an empty frontier, or after `longest`."""
-    edges = edges.select("u", "v").distinct()
+    edges = cut(edges.select("u", "v").distinct())  # every level reads them again
     frontier = starts.select("start", F.col("start").alias("node"))
     visited = frontier
     for depth in count(1):
@@ -75,7 +75,7 @@ def var_length(edges: DataFrame, starts: DataFrame, least: int, most: int | None
 def bfs(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
     """node, depth: what the starts together reach by at most `max_depth` edges, at its first depth. A
     start comes out only if an edge leads back to it."""
-    edges = edges.select("u", "v").distinct()
+    edges = cut(edges.select("u", "v").distinct())
     frontier, seen = starts.select(F.col(starts.columns[0]).alias("node")).distinct(), None
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["u"]).select(F.col("v").alias("node")).distinct()
