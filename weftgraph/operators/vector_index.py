@@ -79,8 +79,11 @@ class VectorIndex:
     def remove(self, ids: DataFrame) -> VectorIndex:
         return replace(self, rows=self.rows.join(ids.select("vec_id").distinct(), "vec_id", "left_anti"))
 
-    def search(self, queries: DataFrame, k: int, *, probes: int = 16, vec_id: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
-        """query_id, vec_id, distance, rank of (nearly always) the k nearest vectors of each query."""
+    def search(self, queries: DataFrame, k: int, *, probes: int | None = None, vec_id: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
+        """query_id, vec_id, distance, rank of (nearly always) the k nearest vectors of each query. probes: lists to look
+        through; three quarters of them if None, which finds over 0.9 of the neighbours even among vectors without
+        any structure. Clustered vectors need far fewer."""
+        probes = probes or max(1, -(-3 * len(self.centres) // 4))
         spark, out = self.rows.sparkSession, None
         rows = queries.where(F.col(vec).isNotNull()).select(vec_id, vec).toLocalIterator()
         while len(self.centres) and (some := [r for _, r in zip(range(block), rows)]):

@@ -139,7 +139,7 @@ def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
     """The index's mean recall of the ten nearest, against brute force over all vectors, is at least 0.9."""
     v = _t(spark, d, "embeddings")
     queries = v.where("vec_id % 50 = 0")
-    found = vector_index.VectorIndex.build(v, lists=32).search(queries, 10, probes=16)
+    found = vector_index.VectorIndex.build(v, lists=32).search(queries, 10)
     return vector_index.recall(found, knn.knn(v, queries, 10)).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
 
 
