@@ -10,10 +10,14 @@ Native: aggregates, joins and windows only. Documents of a source are never brou
 by hash range find the document at which the last block ends, range by range, so a source that holds
 a third of all rows costs no more per task than any other. The driver sees a few scalars.
 
+Tokens are counted by `token_estimate`, or taken from a column that holds counts (those of token_count).
+
 Null source: the source named ''. Null or empty text: no tokens; such documents come with every
 whole block and with the head as far as it reaches. Rows with equal doc_id in one source share a
 place in the permutation and stay together. A source without any token has no share: none of its
-documents comes out, and it doesn't count among the sources. An empty table gives an empty result.
+documents comes out, and it doesn't count among the sources. An empty table gives an empty result. Long
+texts only count; a text is never split. Extra columns pass; columns of the input that are called mix_block or
+mix_key are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, saved
 
-LEVELS, PER_JOB = 16, 4
+LEVELS, PER_JOB, SEED = 16, 4, 17
 #: Below this many sources the table of quotas is broadcast (under 100 bytes a row).
 BROADCAST_SOURCES = 100_000
 #: Bits of the permutation key that each narrowing step looks at, from the top of 60.
@@ -33,8 +37,11 @@ STEP_BITS = 12
 
 
 def token_estimate(text: Column) -> Column:
-    """Words of the text; any monotone token count serves the weights as well."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE_CLASS}]+")).cast("long")
+    """Tokens of a byte-level vocabulary, roughly: four bytes each, but one for each word at least; none without
+    words. So languages written without spaces, or in several bytes a letter, weigh what they cost."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+")).cast("long")
+    return F.when(words > 0, F.greatest(words, F.floor((F.octet_length(text) + 3) / 4).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
 def permutation_key(seed: int, source: Column, block: Column, doc_id: Column) -> Column:
@@ -43,6 +50,15 @@ def permutation_key(seed: int, source: Column, block: Column, doc_id: Column) ->
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def with_blocks(df: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of a mixture that has lost its mix_block and mix_key, with them: the copies of a document are told
+    apart by number, copy n being block n's. Sorted by these columns, rows stand in the order of the blocks."""
+    src = F.coalesce(F.col(source), F.lit(""))
+    copy = Window.partitionBy(F.col(doc_id), src, F.xxhash64(F.col(text))).orderBy(F.lit(0))  # a document's copies
+    out = df.withColumn("mix_block", (F.row_number().over(copy) - 1).cast("long"))
+    return out.withColumn("mix_key", permutation_key(seed, src, F.col("mix_block"), F.col(doc_id)))
+
+
 def exponent(sources: DataFrame, budget: int, entropy_share: float, max_repeats: float) -> float:
     """Both bisections, PER_JOB levels to a job: each job aggregates the midpoints of the whole
     subtree below the present bounds, and the driver walks it."""
@@ -106,17 +122,19 @@ def mixing_plan(narrow: DataFrame, seed: int, budget_tokens: int | None, entropy
     return saved(plan.join(cut, "source", "left").select("source", "tokens", "weight", "quota", "blocks", "cut"), "mix-plan") if n_sources else spark.createDataFrame([], "source string, tokens long, weight double, quota long, blocks long, cut long")
 
 
-def mix_sources(df: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = 17, budget_tokens: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0) -> DataFrame:
+def mix_sources(df: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", tokens: str | None = None, seed: int = SEED, budget_tokens: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0) -> DataFrame:
     """The rows of `df`, each once for every block that takes it, with `mix_block` and `mix_key`
     (ascending mix_key within (source, mix_block) is the block's order) added. Extra columns pass.
 
+    tokens: a column of token counts to weigh by (null: 0); `token_estimate` of the text if none is named.
     budget_tokens: tokens to hand out over all sources; as many as there are if None.
     entropy_share: least entropy of the weights, as a share of that of equal weights.
     """
+    df = df.drop("mix_block", "mix_key")
     names = [f"_c{i}" for i in range(len(df.columns))]
     at = dict(zip(df.columns, names, strict=True))
     inner = df.toDF(*names).withColumn("_source", F.coalesce(F.col(at[source]), F.lit("")))
-    narrow = saved(inner.select(F.col("_source").alias("source"), F.col(at[doc_id]).alias("doc_id"), token_estimate(F.col(at[text])).alias("n_tokens")), "mix-narrow")
+    narrow = saved(inner.select(F.col("_source").alias("source"), F.col(at[doc_id]).alias("doc_id"), (F.coalesce(F.col(at[tokens]).cast("long"), F.lit(0)) if tokens else token_estimate(F.col(at[text]))).alias("n_tokens")), "mix-narrow")
     plan = mixing_plan(narrow, seed, budget_tokens, entropy_share, max_repeats).select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"), F.col("cut").alias("_cut"))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)

@@ -87,7 +87,8 @@ def _quoted(words) -> str:
 def _mixing_sql() -> str:
     block_key, next_key = _KEY.format(block="mix_block"), _KEY.format(block="blocks")
     return f"""
-WITH n AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS t FROM documents),
+WITH n AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS w, (strlen(coalesce(text, '')) + 3) // 4 AS b,
+  CASE WHEN w > 0 THEN greatest(w, b) ELSE 0 END AS t FROM documents),
 s AS (SELECT source, sum(t)::BIGINT AS tokens FROM n GROUP BY 1 HAVING sum(t) > 0),
 total AS (SELECT sum(tokens)::BIGINT AS budget, count(*) AS n, min(tokens) AS least FROM s),
 grid AS (SELECT i / 65536.0::DOUBLE AS a, i FROM range(0, 65537) r(i)),
@@ -96,10 +97,10 @@ e AS (SELECT max(i) AS i FROM z, total WHERE ln(z) - a * sl / z >= 0.95 * ln(n)
 p AS (SELECT min(i) AS i FROM z, total WHERE pow(least, a - 1) * budget / z <= 4.0 OR i = 65536),
 w AS (SELECT source, tokens, exp(ln(tokens::DOUBLE) * z.a) / z.z AS weight FROM s, z WHERE z.i = (SELECT greatest(e.i, p.i) FROM e, p)),
 q AS (SELECT source, tokens, floor(weight * budget)::BIGINT AS quota FROM w, total),
-b AS (SELECT source, quota // tokens AS blocks, quota % tokens AS rest FROM q),
-k AS (SELECT n.source, rest, {next_key} AS mix_key, sum(t) AS t FROM n JOIN b USING (source) GROUP BY 1, 2, 3),
+bl AS (SELECT source, quota // tokens AS blocks, quota % tokens AS rest FROM q),
+k AS (SELECT n.source, rest, {next_key} AS mix_key, sum(t) AS t FROM n JOIN bl USING (source) GROUP BY 1, 2, 3),
 c AS (SELECT source, max(mix_key) AS cut FROM (SELECT *, sum(t) OVER (PARTITION BY source ORDER BY mix_key) - t AS before FROM k) WHERE before < rest GROUP BY 1),
-o AS (SELECT doc_id, source, unnest(range(0, blocks + 1)) AS mix_block, blocks, cut FROM n JOIN b USING (source) LEFT JOIN c USING (source))
+o AS (SELECT doc_id, source, unnest(range(0, blocks + 1)) AS mix_block, blocks, cut FROM n JOIN bl USING (source) LEFT JOIN c USING (source))
 SELECT doc_id, source, mix_block, {block_key} AS mix_key FROM o WHERE mix_block < blocks OR {block_key} <= cut"""
 
 
