@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -37,6 +38,31 @@ def test_token_counts_are_the_librarys():
     assert token_count.Vocabulary(path).count_batch(texts) == want
 
 
+def test_token_counts_of_long_runs_and_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    v, lib, rng = token_count.Vocabulary(path), Tokenizer.from_file(path), random.Random(7)
+    runs = ["".join(rng.choice(s) for _ in range(n)) for s in ("acgt", "abcdefghijklmnopqrstuvwxyz", "a", "é中ß", "=-", " \n") for n in (257, 1000, 5001)]
+    texts = [*runs, *[f"{a} word {b}" for a, b in zip(runs, runs[1:], strict=False)]]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert v.count_texts(texts) == want
+    monkeypatch.setattr(token_count, "PIECE", 7)
+    odd = [t * 5 for t in odd_texts(800, 9)]
+    assert v.count_texts(odd) == [len(lib.encode(t, add_special_tokens=False).ids) for t in odd]
+    monkeypatch.undo()
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    start = time.perf_counter()
+    n = v.count_texts([run])[0]
+    took = time.perf_counter() - start
+    assert n == len(lib.encode(run, add_special_tokens=False).ids) and took < 10
+
+
+def test_token_counts_of_all_documents_are_the_librarys(spark, sf):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {i: (len(t.encode()), n := len(lib.encode(t, add_special_tokens=False).ids), n > 512) for i, t in docs.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op2_token_counts(spark, sf).collect()} == want
+
+
 def test_token_counts_with_a_small_cache(monkeypatch):
     monkeypatch.setattr(token_count, "CACHE_PIECES", 5)
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -284,6 +310,28 @@ def test_decontamination_scores_do_not_depend_on_shards(spark, sf, monkeypatch,
     assert len(want) >= b.count() and got == want
 
 
+def test_decontamination_of_many_and_long_items(spark):
+    """One pass over 10,000 items; an item of thousands of words is found and doesn't blur the short ones."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [" ".join(word() for _ in range(rng.randint(6, 80))) for _ in range(10_000)] + [" ".join(word() for _ in range(5000))]
+    rows = [(i, t, "") for i, t in enumerate(texts)]
+    index = decontaminate.Index.of(rows)
+    assert len(index.items) == len(rows) <= decontaminate.SHARD_ITEMS and len(index.classes) > 2
+    shingles = [decontaminate.shingles_of(decontaminate.words_of(t)) for t in texts]
+    for n in range(12):
+        picked = rng.sample(range(10_000), 3) + [10_000] * (n == 0)
+        parts = []
+        for i in picked:
+            w = texts[i].split()
+            w[rng.randrange(len(w))] = "changed"
+            parts += [" ".join(word() for _ in range(150)), " ".join(w)]
+        text = " ".join(parts)
+        inside = decontaminate.shingles_of(decontaminate.words_of(text))
+        want = {i for i, s in enumerate(shingles) if len(s & inside) >= 0.75 * len(s)}
+        assert set(index.found_in(text, 0.6, 0.75)) == want
+
+
 def test_mixing_weights_and_odd_rows(spark):
     rows = [(i, "w " * 10, "big") for i in range(400)] + [(1000 + i, "w " * 10, "small") for i in range(20)] + [(5000, None, None), (5001, "a b", None)]
     df = docs(spark, *rows)

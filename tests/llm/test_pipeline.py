@@ -1,7 +1,7 @@
 """The pipeline's stages against brute force, and on odd tables."""
 
 import corpus_pipeline
-from weftgraph.llm import decontaminate, quality
+from weftgraph.llm import decontaminate, mixing, quality
 from weftgraph.llm.common import saved
 
 from .test_operators import DOCS, jaccard_components
@@ -25,7 +25,8 @@ def test_stages(spark, sf):
     mixed = corpus_pipeline.mixing(spark, clean, sf)
     assert mixed.columns == docs.columns
     out = corpus_pipeline.token_output(spark, saved(mixed, "t"), sf).orderBy("start").collect()
-    assert [r.doc_id for r in out] == sorted(r.doc_id for r in out) and len({r.start for r in out}) == len(out)
+    blocks = mixing.mix_sources(clean).orderBy("mix_block", "mix_key").collect()
+    assert [r.doc_id for r in out] == [r.doc_id for r in blocks] and len({r.start for r in out}) == len(out)
 
 
 def test_odd_tables(spark, sf):
