@@ -4,8 +4,9 @@ The test items are the indexed side. One index holds up to SHARD_ITEMS items and
 100 bytes a word where it is broadcast); only beyond that are there several, and a training text is
 read once for each. Document frequencies and mean length are those of all items, so scores don't
 depend on the shards. Items are held by classes of length, powers of two; for each class every text is cut into
-overlapping passages that cover it whole: steps of the class's length, passages of two steps, so any
-item lies inside one passage, and one long item doesn't lengthen the passages of the others. Each passage
+overlapping passages that cover it whole: steps of twice the class's length, passages of two steps, so any
+item lies inside one passage, also with as many words put in between, and one long item doesn't lengthen the
+passages of the others. Each passage
 is a query; items whose BM25 score is at least `threshold` of the item's score against itself are
 retrieved by block-max WAND (weights are divided by that self score, so one threshold serves all) and
 verified: at least 75 % of the distinct 5-word shingles of the whole item occur in the passage, or as
@@ -50,7 +51,7 @@ WORDS, SHARE, THRESHOLD = 5, 0.75, 0.6
 BLOCK, SHARD_ITEMS, SHARD_WORDS = 4, 100_000, 4_000_000
 #: The shortest class of item lengths, the share of an item's weight that its essential terms have, and the
 #: passages of a text, and (passage, block) pairs, that are bounded at once.
-LEAST_STEP, ESSENTIAL, PASSAGES, PAIRS = 32, 0.8, 256, 2048
+LEAST_STEP, ESSENTIAL, PASSAGES, PAIRS = 64, 0.8, 256, 2048
 #: Items whose shingles a worker remembers.
 PARTS = 10_000
 #: Room for rounding in sums of single-precision bounds.
@@ -118,7 +119,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LengthClass:
-    """Items of at most `step` words. Block b has entries entry_at[b] .. entry_at[b + 1], one a term, in the
+    """Items of at most `step` / 2 words. Block b has entries entry_at[b] .. entry_at[b + 1], one a term, in the
     order of the terms: `term`, `most` (the largest weight in the block) and postings post_at[e] ..
     post_at[e + 1] of items and weights. Blocks in which a term is essential to an item: `blocks` from
     essential_at[term] on, with its maxima for these items; `rest` is what the other terms of a block's
@@ -272,7 +273,7 @@ class Index:
                 held += weight[w] / total
                 if held >= ESSENTIAL:
                     break
-            by_step.setdefault(max(LEAST_STEP, 1 << (lengths[i] - 1).bit_length()), []).append(i)
+            by_step.setdefault(max(LEAST_STEP, 1 << (2 * lengths[i] - 1).bit_length()), []).append(i)
         self.classes = [LengthClass.of(step, items, weights, essential, len(df)) for step, items in sorted(by_step.items())]
         return self
 
