@@ -84,11 +84,18 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches in smaller ones: shingles take several times the room of their text."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row each with its set's size, digest and sketches."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             size, key, sketch = [], [], []
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py())
@@ -104,7 +111,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, shingles (array<long>)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return map_batches(docs, sets, "doc_id long, shingles array<long>")
