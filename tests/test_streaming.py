@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import queries
 from weftgraph.operators import etl, eventlog, temporal, views
 from weftgraph.sources import packages, readers, sinks
 from weftgraph.streaming import pipeline, standing, windows
@@ -60,6 +61,17 @@ def test_json_lines_source_skips_bad_lines(spark, tmp_path):
     assert sorted((r.event_id, r.event_time.year) for r in df.collect()) == [("x", 2023), ("y", 2024)]
 
 
+def test_json_lines_query_rounds_milliseconds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    at = ", ".join(str(t) for t in (0, 1, 499, 500, 1499, 1500, 2500, -1, -499, -500, -501, -1500, -9_999_999_999_999_500, 86_400_000_500, 99_999_999_999_499, 1704067798778499, 1704067798778500, 1704067798999999, "NULL"))
+    con.execute(f"COPY (SELECT row_number() OVER () AS event_id, 1 AS user_id, 'k' AS event_type, make_timestamp(t::BIGINT) AS ts FROM unnest([{at}]) AS x(t)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    got = queries.QUERIES["source_json_lines"](spark, str(tmp_path)).select("event_id", "ms", "kind")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(queries.ORACLE_SQL["source_json_lines"]).fetchall()))
+
+
 def test_polled_source(spark, tmp_path):
     records = json.dumps([[str(i), "t", "{}"] for i in range(5)])
     df = readers.polled(spark, "weftgraph.sources.readers:Scripted", records=records, shards="2")

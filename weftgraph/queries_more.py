@@ -571,15 +571,16 @@ def stream_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _json_events(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("id"), "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))).alias("value"))
+    return _t(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("id"), "user_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at"))).alias("value"))
 
 
 @_add("source_json_lines", "SELECT event_id::VARCHAR AS event_id, epoch_ms(ts) AS ms, event_type AS kind FROM events")
 def source_json_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of JSON lines, some of which aren't objects."""
+    """A stream of JSON lines, some of which aren't objects. Milliseconds are the nearest, halves away from zero."""
     path, out = scratch(spark, "jsonl"), scratch(spark, "jsonl-out")
     _json_events(spark, d).union(spark.createDataFrame([("not json",), ("[1]",), ("",)], "value string")).write.text(path)
-    rows = readers.json_lines(spark, path, "ev", "id", "at").select("event_id", F.unix_millis("event_time").alias("ms"), F.get_json_object("payload", "$.event_type").alias("kind"))
+    nearest = F.timestamp_micros(F.round(F.unix_micros("event_time"), -3))
+    rows = readers.json_lines(spark, path, "ev", "id", "at").select("event_id", F.unix_millis(nearest).alias("ms"), F.get_json_object("payload", "$.event_type").alias("kind"))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
