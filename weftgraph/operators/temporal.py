@@ -20,6 +20,11 @@ def event_time(payload_time: Column, transport_time: Column | None = None, ahead
     return F.when(parsed <= F.current_timestamp() + F.make_dt_interval(mins=F.lit(ahead_minutes)), parsed)
 
 
+def nearest_millis(ts: Column) -> Column:
+    """The timestamp to the nearest millisecond, halves away from zero, as SQL's epoch_ms counts it."""
+    return F.timestamp_micros(F.round(F.unix_micros(ts.cast("timestamp")), -3))
+
+
 def clock(op_time: Column, batch_time: Column, arrival: Column) -> Column:
     """The time a change competes with: its own, else its batch's, else its arrival."""
     return F.coalesce(op_time, batch_time, arrival)

@@ -499,8 +499,9 @@ def stream_dropped_late(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("stream_watermark", "SELECT epoch_ms(max(ts)) - 90000 AS watermark_ms FROM events")
 def stream_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """Where the watermark stands after two parts: behind the newest event by the disorder and the lateness."""
-    e, seen = _stream_events(spark, d), []
+    """Where the watermark stands after two parts: behind the newest event by the disorder and the lateness. Spark's
+    watermarks are whole milliseconds and cut the rest off, so the events' times are rounded first."""
+    e, seen = _stream_events(spark, d).withColumn("ts", temporal.nearest_millis(F.col("ts"))), []
 
     def run(s: DataFrame, cp: str):
         w = windows.tumbling_stream(s, "ts", "value", "1 hour", "1 minute", "30 seconds")
