@@ -72,7 +72,7 @@ def test_json_lines_query_rounds_milliseconds_as_its_sql(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(queries.ORACLE_SQL["source_json_lines"]).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["stream_watermark"])
+@pytest.mark.parametrize("name", ["stream_watermark", "stream_global_watermark"])
 def test_milliseconds_are_rounded_as_in_sql(spark, tmp_path, name):
     import duckdb
 

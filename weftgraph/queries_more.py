@@ -516,7 +516,7 @@ def stream_watermark(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("stream_global_watermark", "SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')).epoch_ms() AS watermark_ms FROM events")
 def stream_global_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """Of two joined inputs the one that is further behind sets the watermark."""
+    """Of two joined inputs the one that is further behind sets the watermark (times rounded as in stream_watermark)."""
     pipeline.min_watermark_policy(spark)
     seen = []
 
@@ -528,7 +528,7 @@ def stream_global_watermark(spark: SparkSession, d: str) -> DataFrame:
         seen.append(pipeline.watermark_of(q))
         return q
 
-    _replayed(spark, [_stream_events(spark, d)], run)
+    _replayed(spark, [_stream_events(spark, d).withColumn("ts", temporal.nearest_millis(F.col("ts")))], run)
     return spark.createDataFrame([(seen[-1],)], "w string").select(F.unix_millis(F.to_timestamp("w")).alias("watermark_ms"))
 
 
