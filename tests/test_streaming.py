@@ -72,12 +72,12 @@ def test_json_lines_query_rounds_milliseconds_as_its_sql(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(queries.ORACLE_SQL["source_json_lines"]).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["stream_watermark", "stream_global_watermark"])
+@pytest.mark.parametrize("name", ["stream_watermark", "stream_global_watermark", "time_bucket"])
 def test_milliseconds_are_rounded_as_in_sql(spark, tmp_path, name):
     import duckdb
 
     con = duckdb.connect()
-    at = ", ".join(f"({t}, '{kind}')" for t in (1704067199999499, 1704067199999500, 1704067259999501) for kind in ("click", "purchase"))
+    at = ", ".join(f"({t}, '{kind}')" for t in (-60000500, -60000499, -500, -499, 1704067199999499, 1704067199999500, 1704067259999501) for kind in ("click", "purchase"))
     con.execute(f"COPY (SELECT row_number() OVER () AS event_id, 1 AS user_id, kind AS event_type, make_timestamp(t::BIGINT) AS ts, 1.0::DOUBLE AS value FROM (VALUES {at}) AS x(t, kind)) TO '{tmp_path}/events.parquet'")
     con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
     got = queries.QUERIES[name](spark, str(tmp_path))

@@ -580,8 +580,7 @@ def source_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """A stream of JSON lines, some of which aren't objects. Milliseconds are the nearest, halves away from zero."""
     path, out = scratch(spark, "jsonl"), scratch(spark, "jsonl-out")
     _json_events(spark, d).union(spark.createDataFrame([("not json",), ("[1]",), ("",)], "value string")).write.text(path)
-    nearest = F.timestamp_micros(F.round(F.unix_micros("event_time"), -3))
-    rows = readers.json_lines(spark, path, "ev", "id", "at").select("event_id", F.unix_millis(nearest).alias("ms"), F.get_json_object("payload", "$.event_type").alias("kind"))
+    rows = readers.json_lines(spark, path, "ev", "id", "at").select("event_id", F.unix_millis(temporal.nearest_millis(F.col("event_time"))).alias("ms"), F.get_json_object("payload", "$.event_type").alias("kind"))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
