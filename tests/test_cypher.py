@@ -84,3 +84,30 @@ def test_paths_of_more_than_eight_hops(spark):
     assert far("") == ids[1:] and far("0..") == ids and far("12..") == ids[12:]
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u string, v string")
     assert var_length(edges, spark.createDataFrame([("n00",)], "start string"), 1, 12).count() == 12
+
+
+def _cycle() -> str:
+    return "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier), (c)-[:PLACED]->(o:Order)-[:SUPPLIED_BY]->(s) RETURN n.name AS nation, count(*) AS n"
+
+
+def test_cyclic_pattern_closes_before_it_multiplies(spark, sf, monkeypatch):
+    from weftgraph.catalog import tpch_graph
+    from weftgraph.cypher import compiler
+
+    seen, hop = [], compiler.Compiler.hop
+    monkeypatch.setattr(compiler.Compiler, "hop", lambda self, scope, a, e, r, p, b, *more: seen.append((a, b, b in scope.vars)) or hop(self, scope, a, e, r, p, b, *more))
+    compiler.compile_query(tpch_graph(spark, sf), _cycle())
+    assert seen == [("n", "c", False), ("c", "o", False), ("o", "s", False), ("n", "s", True)]
+
+
+def test_cyclic_patterns(spark, people):
+    s = GraphSession(spark, people.with_vertices("Tag", spark.createDataFrame([("b", "x"), ("t", "x")], "id string, name string")).with_edges("HAS", "Person", "Tag", spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "b"), ("d", "b")], "src string, dst string")))
+    assert rows(s, "MATCH (a:Person)-[:KNOWS]->(a) RETURN a.id AS a") == [("d",)]
+    assert rows(s, "MATCH (a)-[r:KNOWS]->(b), (b)-[q:KNOWS]->(c), (c)-[:KNOWS]->(a:Person {id: 'b'}) RETURN a.name AS a, r.since AS r, q.since AS q, c.id AS c") == [("Bob", 2, 3, "a")]
+    assert rows(s, "MATCH (t:Tag)<-[:HAS]-(a:Person), (b)-[:HAS]->(t:Tag {id: 't'}), (b)<-[:KNOWS]-(a) RETURN a.id AS a, b.age AS b, t.name AS t") == [("a", 24, "x")]
+    assert rows(s, "MATCH (a:Person)-[:KNOWS]-(b)-[:KNOWS]-(c)-[:KNOWS]-(a) RETURN a.id AS a, count(*) AS n ORDER BY a") == [("a", 2), ("b", 2), ("c", 2)]
+    assert rows(s, "MATCH p = (a:Person)-[:KNOWS]->(b), (b)-[:KNOWS]->(c)-[:KNOWS]->(a) WHERE a.age = 25 RETURN [x IN nodes(p) | x.id] AS p, c.name AS c") == [(["a", "b"], "Cy")]
+    assert rows(s, "MATCH (x:Person {id: 'c'}) MATCH (x:Person)-[:KNOWS]->(y), (y)-[:KNOWS]->(z:Person {age: 24})-[:KNOWS]->(x) RETURN y.id AS y, z.id AS z") == [("a", "b")]
+    assert rows(s, "MATCH (a:Person)-[:KNOWS]->(b)<-[:KNOWS]-(a) RETURN count(*) AS n") == [(0,)]
+    assert rows(s, "MATCH (x:Person) WHERE EXISTS { (x)-[:KNOWS]->(y), (y)-[:KNOWS]->(z), (z)-[:KNOWS]->(x) } RETURN x.id AS x ORDER BY x") == [("a",), ("b",), ("c",)]
+    assert rows(s, "MATCH (x:Person) OPTIONAL MATCH (x)-[:KNOWS]->(y), (y)-[:KNOWS]->(z), (z)-[:KNOWS]->(x) RETURN x.id AS x, z.id AS z ORDER BY x") == [("a", "c"), ("b", "a"), ("c", "b"), ("d", None)]

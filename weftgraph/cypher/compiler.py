@@ -185,11 +185,15 @@ class Compiler:
         return scope
 
     def match(self, parts: list, scope: Scope) -> Scope:
-        hops: list[tuple[str, tuple[str, ...]]] = []
+        hops: list[tuple[str, tuple[tuple[str, str, str], ...]]] = []
         for p in parts:
             if sum(1 if e.length is None else e.length[1] or 1 for e in p.edges) > MAX_PATTERN_DEPTH:
                 raise CypherError(f"pattern is deeper than {MAX_PATTERN_DEPTH}")
-            scope = self.path(p, scope, hops)
+        if self.closes(parts):
+            scope = self.cyclic(parts, scope, hops)
+        else:
+            for p in parts:
+                scope = self.path(p, scope, hops)
         # relationships of one MATCH are distinct: compare only pairs that may be the same one
         for i, (a, ta) in enumerate(hops):
             for b, tb in hops[:i]:
@@ -213,12 +217,94 @@ class Compiler:
             scope = self.hop(scope, names[i], p.edges[i], edge_names[i], p.nodes[i + 1], names[i + 1], False, hops, len(p.edges) > 1 or bool(hops))
         for i in range(at - 1, -1, -1):
             scope = self.hop(scope, names[i + 1], p.edges[i], edge_names[i], p.nodes[i], names[i], True, hops, len(p.edges) > 1 or bool(hops))
+        return self.named(p, names, edge_names, scope)
+
+    def named(self, p: S.Path, names: list[str], edge_names: list[str], scope: Scope) -> Scope:
+        """The scope with the path's variable, if it has one."""
         if p.var:
             nodes = F.array(*[F.struct(F.col(f"__{n}__lab").alias("label"), F.col(f"__{n}__id").cast("string").alias("id")) for n in names])
             rels = F.array(*[F.struct(F.col(f"__{e}__type").alias("type")) for e, x in zip(edge_names, p.edges, strict=True) if x.length is None]) if p.edges else F.array()
             scope = Scope(scope.df.withColumn(f"__{p.var}", F.struct(nodes.alias("nodes"), rels.alias("relationships"))), {**scope.vars, p.var: Bound("value")})
         return scope
 
+    def closes(self, parts: list) -> bool:
+        """Whether the pattern holds a cycle of single relationships, whose order may then be chosen: nothing in
+        it reads the pattern's own variables."""
+        root: dict[Any, Any] = {}
+
+        def find(x: Any) -> Any:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        if any(e.length is not None for p in parts for e in p.edges):
+            return False
+        own = [x.var for p in parts for x in (*p.nodes, *p.edges) if x.var]
+        if any(self._reads(v, own) for p in parts for x in (*p.nodes, *p.edges) for _, v in x.props):
+            return False
+        cycle = False
+        for i, p in enumerate(parts):
+            ends = [n.var or (i, j) for j, n in enumerate(p.nodes)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                a, b = find(a), find(b)
+                cycle = cycle or a == b
+                root[a] = b
+        return cycle
+
+    def cyclic(self, parts: list, scope: Scope, hops: list) -> Scope:
+        """Joins a pattern that holds a cycle, its relationships in the order in which rows grow least: those
+        between bound nodes, then those of which a node has one at most, then those from a node that no two rows
+        share (no more rows than relationships), then the others. A node is bound as its first mention says."""
+        names = [[self._name(n.var) for n in p.nodes] for p in parts]
+        edge_names = [[self._name(e.var) for e in p.edges] for p in parts]
+        mentions: dict[str, list[S.NodeP]] = {}
+        for p, own in zip(parts, names, strict=True):
+            for n, v in zip(p.nodes, own, strict=True):
+                mentions.setdefault(v, []).append(n)
+        left = [(i, j) for i, p in enumerate(parts) for j in range(len(p.edges))]
+        alone: set[str] = set()  # nodes that no two rows share
+
+        def settle(v: str, scope: Scope, seen: int) -> Scope:
+            for n in mentions[v][seen:]:
+                scope = self.constrain(n, v, scope)
+            return scope
+
+        def sides(i: int, j: int, flip: bool, scope: Scope) -> tuple[str, str, str | None]:
+            """(near, far, which of them holds the relationship in its own table)."""
+            a, b, e = names[i][j + flip], names[i][j + 1 - flip], parts[i].edges[j]
+            label = lambda v: scope.vars[v].labels if v in scope.vars else tuple(t.label for t, _ in self.graph.labelled(mentions[v][0].labels))
+            src, dst = (a, b) if (e.direction == "out") != flip else (b, a)
+            tables = self.edge_tables(e.types, label(src), label(dst)) if e.direction != "both" else []
+            side = tables[0].node_side if len(tables) == 1 else None
+            return a, b, {"src": src, "dst": dst}.get(side)
+
+        def rank(i: int, j: int, flip: bool, scope: Scope) -> int:
+            a, b, holder = sides(i, j, flip, scope)
+            return 0 if b in scope.vars else 1 if holder == a else 2 if a in alone else 3
+
+        for v in [v for v in mentions if v in scope.vars]:
+            scope = settle(v, scope, 0)
+        for i, p in enumerate(parts):
+            if not any(v in scope.vars for v in names[i]):
+                v = names[i][self.first(p)]
+                df, bound = self.scan(mentions[v][0], v)
+                alone = set() if scope.df is not None or len(bound.labels) > 1 else {v}
+                scope = Scope(df if scope.df is None else scope.df.crossJoin(df), {**scope.vars, v: bound})
+                scope = settle(v, self.inline(mentions[v][0].props, v, scope), 1)
+            while True:
+                ways = [(k, m, flip) for k, m in left for flip in (False, True) if names[k][m + flip] in scope.vars]
+                if not ways:
+                    break
+                k, m, flip = min(ways, key=lambda w: (rank(*w, scope), w))
+                (a, b, holder), new = sides(k, m, flip, scope), names[k][m + 1 - flip] not in scope.vars
+                scope = self.hop(scope, a, parts[k].edges[m], edge_names[k][m], mentions[b][0] if new else S.NodeP(b), b, flip, hops, True)
+                scope = settle(b, scope, 1) if new else scope
+                alone = alone if holder == a or not new and holder else {b} if new and holder == b and a in alone else set()
+                left.remove((k, m))
+        for p, own, rels in zip(parts, names, edge_names, strict=True):
+            scope = self.named(p, own, rels, scope)
+        return scope
+
     def first(self, p: S.Path) -> int:
         """The node to begin with: the second if the first one's own table holds the relationship, which then
         reads that table once."""
@@ -266,7 +352,7 @@ class Compiler:
         for x in parts[1:]:
             edges = edges.unionByName(x, allowMissingColumns=True)
         if unique:
-            hops.append((r, tuple({t.rel_type for t, _, _ in ways})))
+            hops.append((r, tuple({(t.rel_type, t.src_label, t.dst_label) for t, _, _ in ways})))
         on = [F.col(f"__{a}__id") == F.col("__near")]
         if len(near) > 1 or len({label[x](t) for t, x, _ in ways}) > 1:
             on.append(F.col(f"__{a}__lab") == F.col("__nearlab"))
