@@ -44,6 +44,90 @@ def test_standing_query_transitions(spark, tmp_path):
     assert [r.qid for r in standing.view_from_transitions(out).collect()] == ["n2"]
 
 
+def test_standing_queries_share_states(spark, tmp_path):
+    qs = [standing.StandingQuery("s", "on", standing.Prop("on", "equals", "1")), standing.StandingQuery("x", "tagged", standing.Labels(("T",)))]
+    schema = "qid string, key string, value string, event_time_us long, seq long"
+    first = [(f"n{i}", "on", str(i % 2), 1, i) for i in range(40)]
+    second = [("n0", "on", "1", 2, 50), ("n1", "on", None, 2, 51), ("n2", "labels", "S,T", 2, 52), ("n3", "on", "0", 0, 53)]
+    q, out = run(standing.transition_stream(stream_of(spark, tmp_path, [first, second], schema), qs, groups=3), sink="shared")
+    got = sorted((r.sq_id, r.qid, r.transition, r.hit) for r in out.collect())
+    assert got == sorted([("s", f"n{i}", "matched", 1) for i in range(1, 40, 2)] + [("s", "n0", "matched", 1), ("s", "n1", "unmatched", 2), ("x", "n2", "matched", 1)])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) == 3
+
+
+class _State:
+    """A group's state as Spark hands it out."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.now, self.wait = None, False, False, 0, None
+
+    def update(self, value):
+        self.get, self.exists, self.wait = value, True, None
+
+    def remove(self):
+        self.get, self.exists, self.wait = None, False, None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.wait = ms
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+
+def _stepped(step, state, rows):
+    import pandas as pd
+
+    frames = [pd.DataFrame(rows, columns=["qid", "key", "value", "event_time_us", "seq"])] if rows else []
+    return [tuple(r) for f in step((0,), iter(frames), state) for r in f.itertuples(index=False)]
+
+
+def test_stale_nodes_lose_their_state_in_a_group():
+    step, state = standing.stepper([standing.StandingQuery("s", "on", standing.Prop("on", "equals", "1"))], 100), _State()
+    assert [r[2:4] for r in _stepped(step, state, [("a", "on", "1", 1, 1), ("b", "on", "0", 1, 2)])] == [("a", "matched")] and state.wait == 100
+    state.now = 60
+    assert _stepped(step, state, [("c", "on", "0", 1, 3)]) == [] and state.wait == 40
+    state.now, state.hasTimedOut = 100, True
+    assert _stepped(step, state, []) == [] and state.wait == 60  # b is gone, c has a while to go
+    state.now, state.hasTimedOut = 110, False
+    assert [r[2:4] for r in _stepped(step, state, [("b", "on", "1", 0, 4), ("a", "on", "0", 0, 5)])] == [("b", "matched")]  # b's clock went too, a's did not
+    state.now, state.hasTimedOut = 1000, True
+    assert _stepped(step, state, []) == [] and state.exists and state.wait is None  # only matches are left
+    state.now, state.hasTimedOut = 1001, False
+    assert [r[2:4] for r in _stepped(step, state, [("a", "on", "0", 2, 6), ("b", "on", "0", 2, 7)])] == [("a", "unmatched"), ("b", "unmatched")]
+    state.now, state.hasTimedOut = 1101, True
+    assert _stepped(step, state, []) == [] and not state.exists
+
+
+def test_groups_of_nodes_step_as_single_nodes():
+    import json
+    import random
+
+    rng = random.Random(5)
+    p = lambda *a: standing.Prop(*a)
+    qs = [standing.StandingQuery(str(i), str(i), x) for i, x in enumerate([p("u", "greater_than", 4), standing.Not(p("v", "exists")), standing.All((p("u", "exists"), standing.Labels(("L",)))), standing.Any_((p("v", "equals", "3"), p("w", "is_null"))), standing.Not(standing.Labels(("M",)))])]
+    step, state, nodes, n = standing.stepper(qs), _State(), {}, 0
+    for _ in range(30):
+        rows = []
+        for _ in range(rng.randrange(1, 12)):
+            k = rng.choice(["u", "v", "w", "labels", "other"])
+            rows.append((f"n{rng.randrange(4)}", k, rng.choice([None, "L", "M,L", ""] if k == "labels" else [None, *"1357"]), rng.randrange(40), n := n + 1))
+        want = []
+        for qid, k, value, at, _ in rows:
+            props, match, hits = nodes.setdefault(qid, ({}, {}, [0]))
+            if k in props and at < props[k][1]:
+                continue
+            props[k] = (value, at)
+            now = {x: v[0] for x, v in props.items()}
+            for q in qs:
+                does = q.pattern.holds(now | {"labels": [x for x in (now.get("labels") or "").split(",") if x]})
+                if does != match.get(q.sq_id, False):
+                    match[q.sq_id] = does
+                    hits[0] += 1
+                    want.append((q.sq_id, q.name, qid, "matched" if does else "unmatched", json.dumps(now, sort_keys=True), 1, hits[0]))
+        rng.shuffle(rows)
+        assert _stepped(step, state, rows) == want
+
+
 def test_event_pipeline_is_idempotent(spark, tmp_path):
     schema = "event_id string, topic string, payload string"
     df = stream_of(spark, tmp_path, [[("1", "a", "{}"), ("2", "g", "{}")], [("3", "a", "{}")]], schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 KINDS = ("exists", "equals", "not_equals", "greater_than", "less_than", "starts_with", "contains", "ends_with", "is_null", "is_not_null")
 
 
@@ -239,51 +242,77 @@ def transitions(before: DataFrame, after: DataFrame, q: StandingQuery) -> DataFr
 RESULT = "sq_id string, name string, qid string, transition string, props string, version int, hit bigint"
 
 
-def transition_stream(changes: DataFrame, queries: list[StandingQuery], stale_after: str | None = None) -> DataFrame:
+#: Nodes share a state by a hash of their id: a call and a state for each node cost several milliseconds.
+GROUPS = 16384
+
+
+def transition_stream(changes: DataFrame, queries: list[StandingQuery], stale_after: str | None = None, groups: int = GROUPS) -> DataFrame:
     """changes: qid, key, value, event_time_us, seq (a null value removes the property; key 'labels'
     takes a comma-separated list). State per node: its properties with their clocks and which queries
     it matches. Writes older than the property's clock are ignored; only changes of a match come out.
     stale_after: a node that matches nothing and hasn't changed for so long ("10 minutes") loses its state.
+    groups: nodes are held in so many states; a change rewrites the state of its node's whole group, so streams of
+    far over ten million nodes want more. It is fixed for the life of a checkpoint.
     Queries with edges need `Runner`, which holds the edges as well."""
     if any(q.hops for q in queries):
         raise ValueError("standing queries with edges go through Runner")
-    held = [(q.sq_id, q.name, q.pattern, q.version) for q in queries]
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
     wait_ms = _millis(stale_after) if stale_after else None
+    ship_package(changes.sparkSession)
+    rows = changes.select(F.pmod(F.xxhash64(F.col("qid").cast("string")), F.lit(groups)).alias("group"), F.col("qid").cast("string").alias("qid"), "key", "value", "event_time_us", "seq")
+    return rows.groupBy("group").applyInPandasWithState(stepper(queries, wait_ms), RESULT, "blob binary", "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
+
+
+def stepper(queries: list[StandingQuery], wait_ms: int | None = None):
+    """The function that takes a group's changes to its transitions. A state is compressed JSON: for each node its
+    id, properties with clocks, matches, number of transitions, and when it last changed."""
+    held = [(q.sq_id, q.name, q.pattern, q.version, _keys(q.pattern) | {"labels"}) for q in queries]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            if any(json.loads(state.get[0])["match"].values()):
-                state.setTimeoutDuration(wait_ms)
-            else:
-                state.remove()
-            return
-        props, match, hits = ({}, {}, 0)
-        if state.exists:
-            blob = json.loads(state.get[0])
-            props, match, hits = blob["props"], blob["match"], blob["hits"]
-        rows = pd.concat(list(frames)).sort_values(["seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            old = props.get(r.key)
-            if old is not None and r.event_time_us < old[1]:
-                continue
-            props[r.key] = [None if pd.isna(r.value) else r.value, int(r.event_time_us)]
-            now = {k: v[0] for k, v in props.items()}
-            now["labels"] = [x for x in (now.get("labels") or "").split(",") if x]
-            for sq_id, name, pattern, version in held:
-                does = pattern.holds(now)
-                if does != match.get(sq_id, False):
-                    match[sq_id] = does
-                    hits += 1
-                    out.append((sq_id, name, key[0], "matched" if does else "unmatched", json.dumps({k: v[0] for k, v in props.items()}, sort_keys=True), version, hits))
-        state.update((json.dumps({"props": props, "match": match, "hits": hits}),))
+        nodes = {n[0]: n[1:] for n in json.loads(zlib.decompress(state.get[0]))} if state.exists else {}
+        at = state.getCurrentProcessingTimeMs() if wait_ms else 0
+        out, seen = [], {}  # seen: values of the nodes that this batch changes
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            for qid, k, value, time in zip(rows["qid"], rows["key"], rows["value"], rows["event_time_us"], strict=True):
+                node = nodes.get(qid)
+                if node is None:
+                    node = nodes[qid] = [{}, {}, 0, at]
+                props, match = node[0], node[1]
+                node[3] = at
+                old = props.get(k)
+                if old is not None and time < old[1]:
+                    continue
+                value = None if pd.isna(value) else value
+                props[k] = [value, int(time)]
+                now = seen.get(qid)
+                first = now is None
+                if first:
+                    now = seen[qid] = {x: v[0] for x, v in props.items()}
+                now[k] = value
+                if first or k == "labels":
+                    now["labels"] = [x for x in (props.get("labels", [None])[0] or "").split(",") if x]
+                for sq_id, name, pattern, version, reads in held:
+                    if not (first or k in reads):
+                        continue
+                    does = pattern.holds(now)
+                    if does != match.get(sq_id, False):
+                        match[sq_id] = does
+                        node[2] += 1
+                        out.append((sq_id, name, qid, "matched" if does else "unmatched", json.dumps({x: v[0] for x, v in props.items()}, sort_keys=True), version, node[2]))
         if wait_ms:
-            state.setTimeoutDuration(wait_ms)
+            nodes = {q: n for q, n in nodes.items() if any(n[1].values()) or at - n[3] < wait_ms}
+        if nodes:
+            state.update((zlib.compress(json.dumps([[q, *n] for q, n in nodes.items()]).encode(), 1),))
+            waits = [n[3] + wait_ms - at for n in nodes.values() if not any(n[1].values())] if wait_ms else []
+            if waits:
+                state.setTimeoutDuration(min(waits))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["sq_id", "name", "qid", "transition", "props", "version", "hit"])
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return changes.groupBy("qid").applyInPandasWithState(step, RESULT, "blob string", "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
+    return step
 
 
 def view_from_transitions(results: DataFrame) -> DataFrame:
