@@ -128,6 +128,13 @@ def test_groups_of_nodes_step_as_single_nodes():
         assert _stepped(step, state, rows) == want
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_writes_that_arrive_at_once_are_not_late_for_each_other(spark, step):
+    rows = [("a", "set", "k", "x", 20, 1), ("a", "set", "k", "y", 10, 1), ("a", "set", "k", "z", 15, 2), ("b", "set", "k", "x", 7, 3), ("b", "set", "k", "y", 5, 3), ("b", "set", "k", "z", 6, 3)]
+    log = spark.createDataFrame(rows[::step], "qid string, op string, key string, value string, event_time long, seq long").coalesce(1)
+    assert [tuple(r) for r in temporal.late_writes(log).collect()] == [("a", 1)]
+
+
 def test_event_pipeline_is_idempotent(spark, tmp_path):
     schema = "event_id string, topic string, payload string"
     df = stream_of(spark, tmp_path, [[("1", "a", "{}"), ("2", "g", "{}")], [("3", "a", "{}")]], schema)

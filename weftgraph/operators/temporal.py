@@ -39,10 +39,11 @@ def latest_properties(changes: DataFrame) -> DataFrame:
 
 
 def late_writes(changes: DataFrame) -> DataFrame:
-    """qid, n_late: writes that were dropped because a later-timed one of the same property came before."""
+    """qid, n_late: writes that were dropped because a later-timed one of the same property came before. Writes that
+    arrive at once (of one `seq`) are taken in the order of their times, so none of them is late for another."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("qid", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("qid", "key").orderBy("seq", "event_time").rowsBetween(Window.unboundedPreceding, -1)
     late = changes.where(F.col("op").isin("set", "remove")).withColumn("_seen", F.max("event_time").over(w)).where("event_time < _seen")
     return late.groupBy("qid").agg(F.count("*").alias("n_late"))
 
